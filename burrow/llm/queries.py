@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burrow.llm import chat_format, licenses, mixing, quality, secret_scan, tiff, toxicity
+from burrow.llm import chat_format, licenses, mixing, near_duplicates, quality, secret_scan, tiff, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digest(chat_format.read_turns(chat_format.format_turns(turns, ranks), ranks))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -49,11 +53,13 @@ QUERIES = {
     "op3_tiff_media": op3_tiff_media,
     "op4_toxic_spans": op4_toxic_spans,
     "op5_chat_format": op5_chat_format,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op9_quality_grades": op9_quality_grades,
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": licenses.sql(),
+    "op6_near_duplicates": near_duplicates.sql(),
     "op7_mix_sources": mixing.sql(),
 }

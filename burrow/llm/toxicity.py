@@ -2,10 +2,11 @@
 
 Tokens are runs of letters, digits and non-ASCII bytes, ASCII letters folded; a
 chain is a sentence (cut after ``CHAIN`` tokens). Two states; the toxic state's
-emission is the sum of hashed weights of the token and of its two neighbours.
-Document labels become token labels first: in a toxic document, tokens whose
-document counts separate toxic from clean documents (a likelihood ratio over
-``SEPARATES``) are toxic; every other token is clean. The field is fitted to these
+emission is the sum of hashed weights of the token, of its beginnings of some
+lengths, and of its two neighbours. Document labels become token labels first: in a
+toxic document, tokens that are, or begin with, something whose document counts
+separate toxic from clean documents (a likelihood ratio over ``SEPARATES``) are
+toxic; every other token is clean. The field is fitted to these
 by its conditional likelihood on a bounded sample of labelled rows.
 
 Scoring runs forward-backward over all chains of every whole text. A document's
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burrow.llm.kernels import ascii_lower, slices, word_hashes
+from burrow.llm.kernels import ascii_lower, mix, slices, word_hashes
 
 BITS = 18
 CHAIN = 256
 SAMPLE = 2400
 SEPARATES = 16.0
 PREDICT_AT = 0.3
+#: Bytes of a token's beginnings that are features; a token must be longer. Bucket 0 stands for none and keeps weight 0.
+BEGINNINGS = (4, 5, 6)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _STOP = np.zeros(256, bool)
@@ -46,7 +49,7 @@ class Tokens:
     starts: np.ndarray
     ends: np.ndarray
     rows: np.ndarray
-    buckets: np.ndarray
+    buckets: np.ndarray  # a column for the token, one for each beginning
     chains: np.ndarray  # first token of every chain
 
 
@@ -61,7 +64,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         closes[:-1] &= ~solid[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    buckets = (word_hashes(low, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    shift = np.uint64(64 - BITS)
+    buckets = np.zeros((len(starts), 1 + len(BEGINNINGS)), np.int32)
+    buckets[:, 0] = np.maximum(word_hashes(low, starts, ends) >> shift, 1)
+    for k, n in enumerate(BEGINNINGS, 1):
+        long = np.flatnonzero(ends - starts > n)
+        buckets[long, k] = np.maximum(mix(word_hashes(low, starts[long], starts[long] + n) + np.uint64(n)) >> shift, 1)
     if not len(starts):
         return Tokens(starts, ends, rows, buckets, np.zeros(0, np.int64))
     stops = np.r_[0, np.cumsum(_STOP[low])]
@@ -86,12 +94,13 @@ class Field:
     calibration: np.ndarray  # constant, of the largest marginal's logit, of the log of the marginals' sum
 
     def emissions(self, t: Tokens) -> np.ndarray:
-        out = self.here[t.buckets] + self.bias
+        word = t.buckets[:, 0]
+        out = self.here[t.buckets].sum(axis=1) + self.bias
         inner = np.ones(len(out), bool)
         inner[t.chains] = False
         k = np.flatnonzero(inner)
-        out[k] += self.before[t.buckets[k - 1]]
-        out[k - 1] += self.after[t.buckets[k]]
+        out[k] += self.before[word[k - 1]]
+        out[k - 1] += self.after[word[k]]
         return out
 
     def marginals(self, t: Tokens) -> tuple[np.ndarray, dict]:
@@ -140,7 +149,7 @@ def summary(logits: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def token_labels(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Buckets whose document counts separate toxic from clean documents."""
+    """Buckets whose document counts separate toxic from clean documents (not those of none)."""
     size = 1 << BITS
     hit, miss = np.zeros(size), np.zeros(size)
     for d, y in zip(docs, toxic, strict=True):
@@ -152,11 +161,13 @@ def token_labels(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
         return np.where(count > 0, count * np.log(np.maximum(count, 1e-12) / np.maximum(expected, 1e-12)), 0)
 
     ratio = 2 * (part(hit, nt * share) + part(miss, nc * share) + part(nt - hit, nt * (1 - share)) + part(nc - miss, nc * (1 - share)))
-    return (ratio > SEPARATES) & (hit / nt > 8 * miss / nc) & (hit >= 3)
+    marked = (ratio > SEPARATES) & (hit / nt > 8 * miss / nc) & (hit >= 3)
+    marked[0] = False
+    return marked
 
 
 def train(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight: np.ndarray, steps: int = 40, rate: float = 0.3, decay: float = 1e-6) -> Field:
-    """Fits the field to token labels, then calibrates document scores. docs: buckets and chain heads of each; weight: of each document, to undo a stratified sample."""
+    """Fits the field to token labels, then calibrates document scores. docs: buckets (a row a token) and chain heads of each; weight: of each document, to undo a stratified sample."""
     size = 1 << BITS
     field = Field(np.zeros(size), np.zeros(size), np.zeros(size), -4.0, np.zeros((2, 2)), np.array([-40.0, 0.0, 0.0]))
     if not len(docs) or toxic.min() == toxic.max():
@@ -167,12 +178,12 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight:
     base = np.cumsum([0, *(len(d[0]) for d in docs)])[:-1]
     chains = np.concatenate([d[1] + b for d, b in zip(docs, base, strict=True)]).astype(np.int64)
     t = Tokens(np.zeros(0), np.zeros(0), rows, buckets, chains)
-    y = marked[buckets] & (toxic[rows] == 1)
+    y = marked[buckets].any(axis=1) & (toxic[rows] == 1)
     inner = np.ones(len(buckets), bool)
     inner[chains] = False
     follow = np.flatnonzero(inner)
     seen = np.bincount(2 * y[follow - 1] + y[follow], minlength=4).astype(float)
-    n = max(int(y.sum()), 1)
+    n, word = max(int(y.sum()), 1), buckets[:, 0]
     parts = [field.here, field.before, field.after, np.array([field.bias]), field.moves.ravel()]
     m, v = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     for step in range(1, steps + 1):
@@ -180,7 +191,9 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight:
         logits, held = field.marginals(t)
         error = (_sigmoid(logits) - y) / n
         k, p = field.pairs(t, held)
-        grads = [np.bincount(buckets, error, size), np.bincount(buckets[k - 1], error[k], size), np.bincount(buckets[k], error[k - 1], size), np.array([error.sum()]), (p.sum(axis=0) - seen) / n]
+        here = sum(np.bincount(b, error, size) for b in buckets.T)
+        here[0] = 0
+        grads = [here, np.bincount(word[k - 1], error[k], size), np.bincount(word[k], error[k - 1], size), np.array([error.sum()]), (p.sum(axis=0) - seen) / n]
         for i, g in enumerate(grads):
             g = g + decay * parts[i] * (i != 3)
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
@@ -211,13 +224,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
                 t = tokens(data, offsets)
                 cut, heads = np.searchsorted(t.rows, np.arange(end - first + 1)), t.chains
                 split = np.searchsorted(heads, cut)
-                got = [(t.buckets[a:b].astype(np.int32).tobytes(), (heads[x:y] - a).astype(np.int32).tobytes()) for a, b, x, y in zip(cut[:-1], cut[1:], split[:-1], split[1:], strict=True)]
+                got = [(t.buckets[a:b].tobytes(), (heads[x:y] - a).astype(np.int32).tobytes()) for a, b, x, y in zip(cut[:-1], cut[1:], split[:-1], split[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "toxic", "buckets", "chains"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     got = joined.mapInArrow(run, "doc_id long, toxic int, buckets binary, chains binary").toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
-    rows = [(np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(c, np.int32).astype(np.int64)) for b, c in zip(got["buckets"].to_pylist(), got["chains"].to_pylist(), strict=True)]
+    rows = [(np.frombuffer(b, np.int32).reshape(-1, 1 + len(BEGINNINGS)), np.frombuffer(c, np.int32).astype(np.int64)) for b, c in zip(got["buckets"].to_pylist(), got["chains"].to_pylist(), strict=True)]
     toxic = (got["toxic"].to_numpy() == 1).astype(np.int64)
     have = np.bincount(toxic, minlength=2)
     weight = np.array([totals.get(int(y), 1) / max(have[y], 1) for y in toxic])
