@@ -3,9 +3,10 @@
 The tokens of the corpus are counted by source, language and topic. Raking scales
 the cells so that the marginals of all three reach their targets (by default the
 tempered shares of the corpus), and every document is sampled with a probability
-in proportion to its cell's weight. The rate is lowered until no probability passes
-1, so the expected tokens meet the targets exactly. Chance is a digest of the id, so
-a rerun, or a lost executor, gives the same sample.
+in proportion to its cell's weight, at most 1, such that the expected tokens are
+``rate`` of all tokens. A cell whose share would pass 1 is taken whole and keeps the
+rest as a repeat factor over 1; sampled tokens times their factor meet the targets.
+Chance is a digest of the id, so a rerun, or a lost executor, gives the same sample.
 
 The table of cells is counted in full. Up to ``SMALL`` cells it is raked on the
 driver, beyond that as a DataFrame; both give the same weights.
@@ -21,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burrow.llm.components import cut
+
 ROUNDS = 20
 TEMPER = 0.7
 RATE = 0.5
@@ -67,23 +70,51 @@ def weights_small(cells: list[tuple], temper: float = TEMPER, rounds: int = ROUN
     return np.where(tokens > 0, _rake(tokens, codes, targets, rounds), 1.0)
 
 
+def scale_small(tokens: np.ndarray, weight: np.ndarray, rate: float) -> float:
+    """The c at which the tokens times min(1, c * weight) are ``rate`` of all tokens."""
+    if not tokens.sum():
+        return rate
+    order = np.lexsort((tokens, -weight))
+    n, w = tokens[order], weight[order]
+    before, rest = np.cumsum(n) - n, np.cumsum((n * w)[::-1])[::-1]
+    c = (rate * n.sum() - before) / np.maximum(rest, 1e-300)
+    return float(c[np.argmax((c * w <= 1) & (rest > 0))])
+
+
+def scale_large(cells: DataFrame, rate: float, steps: int = 60) -> float:
+    """The same by bisection over aggregates of the cells."""
+    total, top = cells.agg(F.sum("tokens"), F.max("weight")).first()
+    if not total:
+        return rate
+    low, high = 0.0, rate
+    while cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * high))).first()[0] < rate * total and high * top < 1e12:
+        low, high = high, 2 * high
+    for _ in range(steps):
+        mid = (low + high) / 2
+        if cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * mid))).first()[0] < rate * total:
+            low = mid
+        else:
+            high = mid
+    return (low + high) / 2
+
+
 def weights_large(cells: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS) -> DataFrame:
     """The same for any number of cells: aggregates of cells, joined back; lineage is cut every round."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return cells.withColumn("weight", F.lit(1.0))
-    out = cells.withColumn("weight", F.lit(1.0)).checkpoint()
+    out = cut(cells.withColumn("weight", F.lit(1.0)))
     targets = []
     for d in DIMENSIONS:
         t = cells.groupBy(d).agg(F.sum("tokens").alias("t")).where("t > 0").withColumn("t", F.pow("t", F.lit(temper)))
         all_t = t.agg(F.sum("t")).first()[0]
-        targets.append(t.select(F.col(d).alias("_d"), (F.col("t") * total / all_t).alias("_t")).checkpoint())
+        targets.append(cut(t.select(F.col(d).alias("_d"), (F.col("t") * total / all_t).alias("_t"))))
     for _ in range(rounds):
         for d, target in zip(DIMENSIONS, targets, strict=True):
             have = out.groupBy(F.col(d).alias("_d")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_h"))
             scale = have.join(target, "_d").where("_h > 0").select(F.col("_d"), (F.col("_t") / F.col("_h")).alias("_s"))
             out = out.join(scale, out[d] == scale["_d"], "left").withColumn("weight", F.col("weight") * F.coalesce("_s", F.lit(1.0))).drop("_d", "_s")
-        out = out.checkpoint()
+        out = cut(out)
     return out.withColumn("weight", F.when(F.col("tokens") > 0, F.col("weight")).otherwise(1.0))
 
 
@@ -96,7 +127,7 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, temper: float = TEMPER, rate: float = RATE, rounds: int = ROUNDS, small: int = SMALL) -> DataFrame:
-    """The documents with _source, _language, _topic, _tokens, _weight, _probability and _sampled."""
+    """The documents with _source, _language, _topic, _tokens, _weight, _probability, _repeat and _sampled."""
     rows = described(docs)
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).select(*(F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS, strict=True)), "tokens")
@@ -104,23 +135,25 @@ def mix(docs: DataFrame, temper: float = TEMPER, rate: float = RATE, rounds: int
     spark = docs.sparkSession
     if len(head) <= small:
         head = sorted(map(tuple, head))
-        weighed = [(*c[:3], float(w)) for c, w in zip(head, weights_small(head, temper, rounds), strict=True)]
-        weights = F.broadcast(spark.createDataFrame(weighed, "s string, l string, t string, _weight double"))
-        top = max((w for *_, w in weighed), default=1.0)
+        found = weights_small(head, temper, rounds)
+        scale = scale_small(np.array([c[3] for c in head], float), found, rate) if head else rate
+        weights = F.broadcast(spark.createDataFrame([(*c[:3], float(w)) for c, w in zip(head, found, strict=True)], "s string, l string, t string, _weight double"))
     else:
-        weights = weights_large(cells.checkpoint(), temper, rounds).select(F.col("source").alias("s"), F.col("language").alias("l"), F.col("topic").alias("t"), F.col("weight").alias("_weight"))
-        top = weights.agg(F.max("_weight")).first()[0]
+        weighed = weights_large(cut(cells), temper, rounds)
+        scale = scale_large(weighed, rate)
+        weights = weighed.select(F.col("source").alias("s"), F.col("language").alias("l"), F.col("topic").alias("t"), F.col("weight").alias("_weight"))
     joined = rows.join(weights, (F.col("_source") == F.col("s")) & (F.col("_language") == F.col("l")) & (F.col("_topic") == F.col("t"))).drop("s", "l", "t")
     chance = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    probability = F.round(F.col("_weight") * min(rate, 1 / top), 9)
-    return joined.withColumn("_probability", probability).withColumn("_weight", F.round("_weight", 6)).withColumn("_sampled", chance < F.col("_probability"))
+    scaled = F.col("_weight") * scale
+    chosen = joined.withColumns({"_probability": F.round(F.least(F.lit(1.0), scaled), 9), "_repeat": F.round(F.greatest(F.lit(1.0), scaled), 6), "_weight": F.round("_weight", 6)})
+    return chosen.withColumn("_sampled", chance < F.col("_probability"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     strip = lambda c: F.when(F.col(c) != "null", F.substring(c, 2, 1 << 20))
     return mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source", "lang")).select(
         "doc_id", strip("_source").alias("source"), strip("_language").alias("language"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
-        F.col("_weight").alias("weight"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"),
+        F.col("_weight").alias("weight"), F.round("_probability", 6).alias("probability"), F.col("_repeat").alias("repeat"), F.col("_sampled").alias("sampled"),
     )
 
 
@@ -138,7 +171,9 @@ WITH d AS (SELECT doc_id, coalesce('=' || source, 'null') AS source, coalesce('=
 e AS MATERIALIZED (SELECT doc_id, source, language, tokens, CASE WHEN tokens = 0 THEN 'empty' WHEN contains(text, ' | ') THEN 'tabular' WHEN regexp_matches(text, '[Ll]icensed|[Ll]icense|rights reserved') THEN 'legal' WHEN regexp_matches(text, '[0-9]{{4}}') THEN 'numeric' WHEN tokens >= 400 THEN 'long' ELSE 'short' END AS topic FROM d),
 w0 AS MATERIALIZED (SELECT source, language, topic, sum(tokens) AS tokens, CAST(1 AS DOUBLE) AS w FROM e GROUP BY ALL),
 {targets}, {", ".join(steps)},
-w AS (SELECT source, language, topic, CASE WHEN tokens > 0 THEN w ELSE 1 END AS w FROM {last}),
-p AS (SELECT e.*, w, round(w * least({rate}, 1 / (SELECT max(w) FROM w)), 9) AS p FROM e JOIN w USING (source, language, topic))
+w AS (SELECT source, language, topic, tokens, CASE WHEN tokens > 0 THEN w ELSE 1 END AS w FROM {last}),
+o AS (SELECT w, tokens, row_number() OVER h AS k, sum(tokens) OVER (h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - tokens AS before, sum(tokens * w) OVER (h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(tokens) OVER () AS total FROM w WINDOW h AS (ORDER BY w DESC, tokens)),
+c AS (SELECT coalesce(arg_min(({rate} * total - before) / rest, k) FILTER (WHERE rest > 0 AND ({rate} * total - before) / rest * w <= 1), {rate}) AS c FROM o),
+p AS (SELECT e.*, w, round(least(1, w * c), 9) AS p, round(greatest(1, w * c), 6) AS repeat FROM e JOIN w USING (source, language, topic), c)
 SELECT doc_id, CASE WHEN source <> 'null' THEN substr(source, 2) END AS source, CASE WHEN language <> 'null' THEN substr(language, 2) END AS language, topic, CAST(tokens AS BIGINT) AS tokens,
-  round(w, 6) AS weight, round(p, 6) AS probability, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < p AS sampled FROM p"""
+  round(w, 6) AS weight, round(p, 6) AS probability, repeat, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < p AS sampled FROM p"""

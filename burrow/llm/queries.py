@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burrow.llm import chat_format, licenses, mixing, near_duplicates, quality, secret_scan, tiff, toxicity
+from burrow.llm import chat_format, decontamination, licenses, line_templates, mixing, near_duplicates, quality, secret_scan, tiff, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,14 @@ def op9_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_license_scan": op2_license_scan,
@@ -55,11 +63,14 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
+    "op8_line_templates": op8_line_templates,
     "op9_quality_grades": op9_quality_grades,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": licenses.sql(),
     "op6_near_duplicates": near_duplicates.sql(),
     "op7_mix_sources": mixing.sql(),
+    "op8_line_templates": line_templates.sql(),
 }
