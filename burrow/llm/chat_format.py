@@ -62,9 +62,10 @@ class Codec:
         """All tokens of the turns, their loss mask, and where each turn ends."""
         segments = self.encoding.encode_ordinary_batch([escape(x) for turn in turns for x in turn], num_threads=1)
         sizes = np.array([len(x) for x in segments], np.int64)
-        ends = np.cumsum(sizes.reshape(-1, 2).sum(axis=1) + 3) if turns else np.zeros(0, np.int64)
-        starts = np.r_[0, ends[:-1]].astype(np.int64)
-        tokens, steps = np.empty(int(ends[-1]) if len(ends) else 0, np.int32), np.zeros((int(ends[-1]) if len(ends) else 0) + 1, np.int8)
+        lengths = sizes.reshape(-1, 2).sum(axis=1) + 3
+        ends = np.cumsum(lengths)
+        starts, total = ends - lengths, int(lengths.sum())
+        tokens, steps = np.empty(total, np.int32), np.zeros(total + 1, np.int8)
         held = np.ones(len(tokens), bool)
         for at, token in ((starts, self.start), (starts + 1 + sizes[::2], self.sep), (ends - 1, self.end)):
             tokens[at], held[at] = token, False
