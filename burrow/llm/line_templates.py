@@ -31,7 +31,7 @@ from burrow.llm.components import cut
 SHORT, LONG, LEAD = 3, 16, 4
 MIN_TEXTS = 3
 COPY_SHARE = 0.5
-_SPACE = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]+"
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
@@ -40,16 +40,21 @@ def _key(text: Column) -> Column:
 
 
 def line_templates(docs: DataFrame) -> DataFrame:
-    """key (of the text), line (position from 0), n (tokens), template: one row for each template of each line."""
+    """key and words (of the text), line (position from 0), n (tokens), template: one row for each template of each line.
+
+    Outer generators and one filter at the end keep Catalyst from computing the
+    tokens again for filters that it would infer and push below them.
+    """
     text = F.col("text").cast("string")
-    lines = docs.where(text.isNotNull()).select(_key(text).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("line", "said"))
-    tokens = lines.select("key", "line", F.filter(F.split(F.regexp_replace("said", _FIELD, "<*>"), _SPACE), lambda x: x != "").alias("t"))
-    sized = tokens.withColumn("n", F.size("t")).where(F.col("n") >= SHORT)
-    half = F.floor(F.col("n") / 2).cast("int")
-    said = lambda kind, *parts: F.xxhash64(F.lit(kind), "n", *(F.concat_ws(" ", p) for p in parts))
-    lead = F.slice("t", 1, LEAD)
-    paths = F.when(F.col("n") < LONG, F.array(said(0, F.col("t")))).otherwise(F.array(said(1, lead, F.slice("t", F.lit(1), half)), said(2, lead, F.slice("t", half + 1, F.col("n")))))
-    return sized.select("key", "line", "n", F.explode(paths).alias("template"))
+    lines = docs.where(text.isNotNull()).select(_key(text).alias("key"), F.regexp_count(text, F.lit(_WORD)).alias("words"), F.posexplode_outer(F.split(text, "\n", -1)).alias("line", "said"))
+    masked = F.when(F.col("said").rlike("[0-9]"), F.regexp_replace("said", _FIELD, "<*>")).otherwise(F.col("said"))
+    tokens = lines.select("key", "words", "line", F.array_remove(F.split(F.translate(masked, "\t\x0b\x0c\r", "    "), " "), "").alias("t"))
+    half = F.floor(F.size("t") / 2).cast("int")
+    said = lambda kind, *parts: F.xxhash64(F.lit(kind), F.size("t"), *(F.concat_ws(" ", p) for p in parts))
+    lead, none = F.slice("t", 1, LEAD), F.lit(None).cast("long")
+    one = F.when(F.size("t") < SHORT, none).when(F.size("t") < LONG, said(0, F.col("t"))).otherwise(said(1, lead, F.slice("t", F.lit(1), half)))
+    two = F.when(F.size("t") >= LONG, said(2, lead, F.slice("t", half + 1, F.size("t"))))
+    return tokens.select("key", "words", "line", F.size("t").alias("n"), F.explode_outer(F.array(one, two)).alias("template")).where("template is not null")
 
 
 def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, copy_share: float = COPY_SHARE) -> DataFrame:
@@ -58,9 +63,8 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, copy_share: float
     counted = seen.select("key", "template").distinct().groupBy("template").count()
     recurring = cut(counted.where(F.col("count") >= min_texts).select("template"))
     held = cut(seen.join(recurring, "template").distinct())
-    tokens = line_templates(docs).select("key", "line", "n").distinct().groupBy("key").agg(F.sum("n").alias("total"))
-    shares = held.select("key", "line", "n").distinct().groupBy("key").agg(F.sum("n").alias("recurs"))
-    whole = shares.join(tokens, "key").where(F.col("recurs") <= copy_share * F.col("total")).select("key")
+    shares = held.select("key", "words", "line", "n").distinct().groupBy("key", "words").agg(F.sum("n").alias("recurs"))
+    whole = shares.where(F.col("recurs") <= copy_share * F.col("words")).select("key")
     proper = held.select("key", "template").distinct().join(whole, "key").groupBy("template").count().where(F.col("count") >= min_texts).select("template")
     return held.join(proper, "template").groupBy("key").agg(F.collect_set("line").alias("lines"))
 
@@ -101,7 +105,7 @@ seen AS MATERIALIZED (SELECT text, line, n, unnest(CASE WHEN n < {LONG} THEN [co
   ELSE [concat('1 ', n, ' ', array_to_string(t[1:{LEAD}], ' '), '|', array_to_string(t[1:half], ' ')), concat('2 ', n, ' ', array_to_string(t[1:{LEAD}], ' '), '|', array_to_string(t[half + 1:], ' '))] END) AS template FROM n),
 held AS MATERIALIZED (SELECT * FROM seen WHERE template IN (SELECT template FROM seen GROUP BY template HAVING count(DISTINCT text) >= {min_texts})),
 shares AS (SELECT text, sum(n) AS recurs FROM (SELECT DISTINCT text, line, n FROM held) GROUP BY text),
-whole AS (SELECT text FROM shares JOIN (SELECT text, sum(n) AS total FROM n GROUP BY text) USING (text) WHERE recurs <= {copy_share} * total),
+whole AS (SELECT text FROM shares WHERE recurs <= {copy_share} * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))),
 proper AS (SELECT template FROM held WHERE text IN (SELECT text FROM whole) GROUP BY template HAVING count(DISTINCT text) >= {min_texts}),
 gone AS (SELECT DISTINCT text, line FROM held WHERE template IN (SELECT template FROM proper)),
 kept AS (SELECT l.text, count(*) AS n_lines, count(g.line) AS n_dropped, coalesce(string_agg(said, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS kept FROM l LEFT JOIN gone g ON l.text = g.text AND l.line = g.line GROUP BY l.text)
