@@ -10,15 +10,16 @@ the same set form a class, and classes are joined:
   Links that hold on the full sets join classes into components.
 * A node whose members are all in one component is done. A node with up to ``NODE``
   members is compared exhaustively, a larger one branches again; at level ``LEVELS``
-  whatever is left is compared exhaustively. Only pairs from different components
-  are compared, since links within a component can't change the result.
+  whatever is left is compared exhaustively, in blocks of ``BLOCK`` members. Only pairs
+  from different components are compared, since links within a component can't
+  change the result.
 
 A pair of similarity 0.8 is met at some level with a probability over 0.9999 in 20
-trees. Before sets are read, pairs are dropped that the least tokens of all hashes
-show to be far below the threshold (under ``AGREE`` of them agree; a linked pair
-fails this with a probability under 1e-6) and pairs whose sizes alone rule a link out.
-No pair within a component is listed twice and a group of copies of any size is one
-class, so hot groups cost rows in proportion to their size.
+trees. Before sets are read, pairs are dropped whose sizes alone rule a link out, and
+pairs that sketches show to be far below the threshold: a linked pair fails the bounds
+``agreement`` sets with a probability of about 1e-6. No pair within a component is
+listed twice and a group of copies of any size is one class. To be verified, a text
+goes once to each block of a node in which it has a pair, not once to each pair.
 
 Nulls: a null text is empty. An empty set is linked with nothing. Rows with a null
 id are not compared: they have a null component and are kept. Rows that share an id
@@ -38,13 +39,14 @@ from pyspark.sql import functions as F
 from burrow.llm.components import components, cut
 from burrow.llm.kernels import ascii_lower, bounds, mix, shingles, slices, word_hashes, words
 
-TREES, LEVELS, NODE = 20, 4, 48
+TREES, LEVELS, NODE, BLOCK = 20, 4, 48, 512
 HASHES = 2 * TREES
-AGREE = 18
-#: Up to so many classes (16 bytes each) the list of those to verify is broadcast; beyond it, it is shuffled.
+#: Bytes of the wide sketch of classes that share a node with another component.
+WIDE = 448
+#: Up to so many classes (8 bytes each) the list of those to read again is broadcast; beyond it, it is shuffled.
 SMALL = 2_000_000
-_SEEDS = np.random.Generator(np.random.PCG64(4711)).integers(1, 1 << 63, HASHES, dtype=np.uint64)
-_ODD = np.random.Generator(np.random.PCG64(4712)).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.Generator(np.random.PCG64(4711)).integers(1, 1 << 63, WIDE, dtype=np.uint64)
+_ODD = np.random.Generator(np.random.PCG64(4712)).integers(1, 1 << 62, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def level_hash(tree: int, level: int) -> int:
@@ -72,16 +74,23 @@ def _digest(tokens: np.ndarray, cut: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in names]
 
 
-def _least(tokens: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """The least token of each non-empty row under each hash, cut to 32 bits."""
+def _least(tokens: np.ndarray, cut: np.ndarray, hashes: int = HASHES, bits: int = 32) -> np.ndarray:
+    """The least token of each non-empty row under each of the first hashes, cut to its low or high bits."""
     filled = np.flatnonzero(cut[1:] > cut[:-1])
-    out = np.zeros((len(cut) - 1, HASHES), np.uint32)
+    out = np.zeros((len(cut) - 1, hashes), np.uint32 if bits == 32 else np.uint8)
     if len(filled):
-        for k in range(HASHES):
-            out[filled, k] = np.minimum.reduceat((tokens ^ _SEEDS[k]) * _ODD[k], cut[:-1][filled]) >> np.uint64(32)
+        for k in range(hashes):
+            least = np.minimum.reduceat((tokens ^ _SEEDS[k]) * _ODD[k], cut[:-1][filled])
+            out[filled, k] = mix(least) >> np.uint64(64 - bits)
     return out
 
 
+def agreement(n: int, num: int, den: int, bits: int = 32) -> int:
+    """How many of n sketched values of a linked pair agree, but for about one pair in a million: the mean less 4.8 deviations."""
+    p = num / den + (1 - num / den) / 2**bits
+    return max(0, int(n * p - 4.8 * (n * p * (1 - p)) ** 0.5))
+
+
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -100,8 +109,16 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, set_id binary, least array<int>")
 
 
-def named_texts(docs: DataFrame, size: int) -> DataFrame:
-    """set_id and text of every row."""
+def _alike(x: Column, y: Column) -> Column:
+    """How many least tokens agree."""
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
+
+
+def _texts(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """set_id and text of the wanted classes (rep, set_id). Rows are chosen by id, and only theirs are cut into shingles again."""
+    reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    if wanted.count() <= SMALL:
+        reps = F.broadcast(reps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,36 +126,98 @@ def named_texts(docs: DataFrame, size: int) -> DataFrame:
                 names = _digest(*sets(data, offsets, size))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(0).slice(first, end - first)], ["set_id", "text"])
 
-    return docs.select("text").mapInArrow(run, "set_id binary, text binary")
-
+    named = rows.join(reps, "doc_id", "left_semi").select("text").mapInArrow(run, "set_id binary, text binary")
+    return named.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
 
-def confirmed(pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, text_a, text_b) whose full sets meet the threshold num / den."""
 
-    def one(text: bytes) -> np.ndarray:
-        return sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size)[0]
+def _wide(texts: DataFrame, size: int) -> DataFrame:
+    """set_id and wide sketch of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (a, text_a, text_b) in enumerate(zip(batch.column(0), batch.column(2), batch.column(3), strict=True)):
-                if (a := a.as_py()) != name:
-                    name, held = a, one(text_a.as_py())
-                other = one(text_b.as_py())
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                keep[k] = den * both >= num * (len(held) + len(other) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for first, end, data, offsets in slices(batch.column(1)):
+                found = _least(*sets(data, offsets, size), WIDE, 8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([x.tobytes() for x in found], pa.binary())], ["set_id", "wide"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return texts.select("set_id", "text").mapInArrow(run, "set_id binary, wide binary")
 
 
-def _alike(x: Column, y: Column) -> Column:
-    """How many least tokens agree."""
-    same = [F.when(F.get(x, F.lit(k)) == F.get(y, F.lit(k)), 1).otherwise(0) for k in range(HASHES)]
-    while len(same) > 1:  # a balanced sum keeps the expression shallow
-        same = [same[i] + same[i + 1] if i + 1 < len(same) else same[i] for i in range(0, len(same), 2)]
-    return same[0]
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows of one key at a time, of batches sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = np.asarray(batch.column(0))
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and held[0].column(0)[0].as_py() != keys[a]:
+                yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+
+
+PAIRS = "key long, a long, set_a binary, b long, set_b binary"
+
+
+def _compared(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one node that may be linked: (node, size, rep, set_id, root, n, wide), in blocks that fit a task."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    key = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(key.alias("key"), "own", (F.col("own") == F.col("other")).alias("alone"), "rep", "set_id", "root", "n", "wide")
+    least = agreement(WIDE, num, den, 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, table in _grouped(batches):
+            own, rep, root, n = (table.column(c).to_numpy() for c in ("own", "rep", "root", "n"))
+            alone = table.column("alone").combine_chunks().to_numpy(zero_copy_only=False)
+            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8).reshape(len(rep), WIDE)
+            left, right = [], []
+            for i in range(len(rep) - 1):
+                fits = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) * den >= np.maximum(n[i + 1 :], n[i]) * num)
+                fits &= (own[i + 1 :] == own[i]) if alone[i] else (own[i + 1 :] != own[i])
+                near = np.flatnonzero(fits) + i + 1
+                near = near[(wide[near] == wide[i]).sum(axis=1) >= least]
+                left += [i] * len(near)
+                right += near.tolist()
+            if left:
+                names, x, y = table.column("set_id").combine_chunks(), np.array(left), np.array(right)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(x), pa.int64()), pa.array(rep[x]), names.take(pa.array(x)), pa.array(rep[y]), names.take(pa.array(y))], ["key", "a", "set_a", "b", "set_b"])
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "key").sortWithinPartitions("key", "set_id").mapInArrow(run, PAIRS)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among keyed pairs: a key's texts come first, each once, then its pairs."""
+    sides = pairs.select("key", F.col("set_a").alias("set_id")).unionAll(pairs.select("key", F.col("set_b").alias("set_id"))).distinct()
+    none = F.lit(None)
+    said = sides.join(texts, "set_id").select("key", F.lit(0).alias("part"), "set_id", "text", none.cast("long").alias("a"), none.cast("long").alias("b"), none.cast("binary").alias("set_b"))
+    asked = pairs.select("key", F.lit(1).alias("part"), F.col("set_a").alias("set_id"), none.cast("binary").alias("text"), "a", "b", "set_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            links = []
+            for key, part, name, text, a, b, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    now, held = key, {}
+                if part == 0:
+                    held[name] = sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), size)[0]
+                else:
+                    x, y = held[name], held[other]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * both >= num * (len(x) + len(y) - both):
+                        links.append((a, b))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return said.unionAll(asked).repartition(n, "key").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, num: int = 80, den: int = 100) -> DataFrame:
@@ -146,60 +225,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _prepared(docs, id_col, text_col)
     sketched = cut(sketches(rows, size))
     usable = sketched.where("doc_id is not null and n > 0")
-    # A class is named by its least document; its text is found by set_id, which rows with the same id don't share.
+    # A class is named by its least document.
     classes = cut(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least")))
     members = usable.select("doc_id", "set_id").join(classes.select("set_id", "rep"), "set_id").select("doc_id", "rep")
     shared_ids = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     same_id = members.join(shared_ids.select("doc_id", F.col("a").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
-
-    nodes = classes.select("rep", "set_id", "n", "least", F.posexplode(F.slice("least", 1, TREES)).alias("tree", "token")).withColumn("node", F.xxhash64("tree", "token"))
-    fits = lambda m, n: F.least(m, n) * den >= F.greatest(m, n) * num
-    one_per_pair = lambda p: p.dropDuplicates(["set_a", "set_b"])
+    branches = lambda df, *more: df.select(*more, "set_id", F.posexplode(F.slice("least", 1, TREES)).alias("tree", "token")).withColumn("node", F.xxhash64("tree", "token")).drop("token")
 
     # First level: each member against the least of its node.
+    nodes = branches(classes, "rep")
     centre = nodes.groupBy("node").agg(F.min(F.struct("rep", "set_id")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    star = nodes.select("node", "rep", "set_id").join(centre, "node").where("set_id <> c.set_id")
-    star = star.select(F.col("c.rep").alias("a"), F.col("c.set_id").alias("set_a"), F.col("rep").alias("b"), F.col("set_id").alias("set_b"))
-    star = one_per_pair(star)
+    star = nodes.join(centre, "node").where("set_id <> c.set_id").select(F.col("c.set_id").alias("set_a"), F.col("set_id").alias("set_b")).distinct()
     for side in ("a", "b"):
-        star = star.join(classes.select(F.col("set_id").alias(f"set_{side}"), F.col("n").alias(f"n_{side}"), F.col("least").alias(f"least_{side}")), f"set_{side}")
-    star = star.where(fits(F.col("n_a"), F.col("n_b")) & (_alike(F.col("least_a"), F.col("least_b")) >= AGREE)).select("a", "set_a", "b", "set_b")
-    first = cut(_verify(cut(star), rows, size, num, den).unionAll(same_id))
+        star = star.join(classes.select(F.col("set_id").alias(f"set_{side}"), F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("least").alias(f"least_{side}")), f"set_{side}")
+    fits = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    star = cut(star.where(fits & (_alike(F.col("least_a"), F.col("least_b")) >= agreement(HASHES, num, den))).select("a", "set_a", "b", "set_b"))
+    sizes = star.groupBy("set_a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    keyed = star.join(sizes, "set_a").select(F.xxhash64("set_a", F.pmod(F.xxhash64("set_b"), "blocks")).alias("key"), "a", "set_a", "b", "set_b")
+    first = cut(_verified(keyed, cut(_texts(rows, _sides(star), size)), size, num, den).unionAll(same_id))
     roots = components(first)
 
     # Then nodes that hold several components, level by level.
-    known = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "set_id", "n", "least", F.coalesce("root", "rep").alias("root"))
-    rest = known.select("*", F.posexplode(F.slice("least", 1, TREES)).alias("tree", "token")).withColumn("node", F.xxhash64("tree", "token")).drop("token")
-    found = None
+    known = cut(classes.select("rep", "set_id").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "set_id", F.coalesce("root", "rep").alias("root")))
+    rest = branches(known.join(classes.select("set_id", "least"), "set_id"), "root")
+    compare = None
     for level in range(1, LEVELS + 1):
         if level > 1:
             branch = F.array(*(F.get("least", F.lit(level_hash(t, level))) for t in range(TREES)))
-            rest = rest.withColumn("node", F.xxhash64("node", F.get(branch, F.col("tree"))))
+            rest = rest.join(classes.select("set_id", "least"), "set_id").withColumn("node", F.xxhash64("node", F.get(branch, F.col("tree")))).select("root", "set_id", "tree", "node")
         held = rest.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node", "size")
         mixed = cut(rest.join(held, "node"))
-        small = mixed if level == LEVELS else mixed.where(F.col("size") <= NODE)
-        x, y = (small.select("node", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "set_id", "n", "least", "root"))) for s in "ab")
-        met = x.join(y, (x["node"] == y["node"]) & (x["root_a"] < y["root_b"]) & fits(x["n_a"], y["n_b"]) & (_alike(x["least_a"], y["least_b"]) >= AGREE))
-        met = met.select(F.col("rep_a").alias("a"), F.col("set_id_a").alias("set_a"), F.col("rep_b").alias("b"), F.col("set_id_b").alias("set_b"))
-        found = met if found is None else found.unionAll(met)
+        done = (mixed if level == LEVELS else mixed.where(F.col("size") <= NODE)).select("node", "size", "set_id", "root")
+        compare = done if compare is None else compare.unionAll(done)
         rest = mixed.where(F.col("size") > NODE).drop("size")
-    second = _verify(cut(one_per_pair(found)), rows, size, num, den)
+    compare = cut(compare)
+    met = cut(classes.select("rep", "set_id", "n").join(compare.select("set_id").distinct(), "set_id"))
+    texts = cut(_texts(rows, met, size))
+    wide = met.join(_wide(texts, size), "set_id")
+    pairs = cut(_compared(compare.join(cut(wide), "set_id"), num, den).groupBy("set_a", "set_b").agg(F.min(F.struct("key", "a", "b")).alias("p")).select("p.key", "p.a", "set_a", "p.b", "set_b"))
+    second = _verified(pairs, texts, size, num, den)
     joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(second))
 
-    named = sketched.join(classes.select("set_id", "rep"), "set_id", "left").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    named = sketched.select("doc_id", "n", "set_id").join(classes.select("set_id", "rep"), "set_id", "left").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) among the pairs (a, set_a, b, set_b); texts are read once more, and only those of the pairs move."""
-    wanted = cut(pairs.select(F.col("set_a").alias("set_id")).unionAll(pairs.select(F.col("set_b").alias("set_id"))).distinct())
-    if wanted.count() <= SMALL:
-        wanted = F.broadcast(wanted)
-    texts = named_texts(rows, size).join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
-    texts = cut(texts)
-    full = pairs.join(texts.select(F.col("set_id").alias("set_b"), F.col("text").alias("text_b")), "set_b").join(texts.select(F.col("set_id").alias("set_a"), F.col("text").alias("text_a")), "set_a")
-    return confirmed(full, size, num, den)
+def _sides(pairs: DataFrame) -> DataFrame:
+    """The classes (rep, set_id) of pairs."""
+    return pairs.select(F.col("a").alias("rep"), F.col("set_a").alias("set_id")).unionAll(pairs.select(F.col("b").alias("rep"), F.col("set_b").alias("set_id"))).distinct()
 
 
 def sql(size: int = 4, num: int = 80, den: int = 100) -> str:
