@@ -34,30 +34,37 @@ SMALL = 1_000_000
 #: Units that read <unit>, and number words that read <num>.
 UNITS = "km cm mm kg mg lb lbs oz miles mile meters metres meter metre feet inches hours hour minutes minute seconds second days weeks months years dollars dollar euros euro cents percent litres liters grams"
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
-_SPACES = r"[\x20\x09-\x0D]+"
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…–—¿¡"
+_WHITE = "\t\n\x0b\x0c\r"
+#: What may stand between a word's letters and the next space.
+_END = r"(?=[^A-Za-z0-9\x80-\x{10FFFF} ]*(?: |$))"
 
 
 def raw_words(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, _SPACES, " "))
+    """A text with single spaces between words and none around them."""
+    plain = F.trim(F.translate(text, _WHITE, " " * len(_WHITE)))
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
 
 
 def canonical(raw: Column) -> Column:
-    """A text of canonical words, one for each word of ``raw``, separated by single spaces."""
-    end = r"(?=[^A-Za-z0-9\x80-\x{10FFFF}]*(?: |$))"
-    out = F.regexp_replace(raw, r"[^ ]*[0-9][^ ]*", "\u0001n")
-    out = F.regexp_replace(out, r"(?<=[a-z,;] )[A-Z][a-z]+(?:['’]s)?" + end, "\u0001m")
-    out = F.translate(out, _A, _Z)
-    out = F.regexp_replace(out, r"(?<= |^)(?:" + NUMBERS.replace(" ", "|") + ")" + end, "\u0001n")
-    out = F.regexp_replace(out, r"(?<= |^)(?:" + UNITS.replace(" ", "|") + ")" + end, "\u0001u")
-    return F.regexp_replace(out, r"[!-/:-@\[-`{-~«»“”‘’…–—¿¡]", "")
+    """A text of canonical words, one for each word of ``raw``, separated by single spaces.
+
+    Every expression begins with a literal, so that it is tried only where one stands.
+    """
+    out = F.when(raw.rlike("[0-9]"), F.regexp_replace(F.concat(F.lit(" "), raw), r" [^ 0-9]*+[0-9][^ ]*+", " \u0001n")).otherwise(F.concat(F.lit(" "), raw))
+    out = F.regexp_replace(out, r" (?<=[a-z,;] )[A-Z][a-z]+(?:['’]s)?" + _END, " \u0001m")
+    out = F.translate(out, _A + _MARKS, _Z)
+    out = F.regexp_replace(out, f" (?:{NUMBERS.replace(' ', '|')})(?= |$)", " \u0001n")
+    return F.substring(F.regexp_replace(out, f" (?:{UNITS.replace(' ', '|')})(?= |$)", " \u0001u"), 2, 1 << 30)
 
 
 def _window(tokens: Column, at: Column, size: Column) -> Column:
     """The hash of a window, or null if it has too few literal tokens."""
     said = F.concat_ws(" ", F.slice(tokens, at + 1, size))
-    literals = size - F.length(said) + F.length(F.translate(said, "\u0001", ""))
-    return F.when(literals >= F.least(size, F.lit(LITERALS)), F.xxhash64(said))
+    marked = F.contains(said, F.lit("\u0001"))
+    literals = F.when(marked, size - F.length(said) + F.length(F.translate(said, "\u0001", ""))).otherwise(size)
+    return F.when((literals >= F.least(size, F.lit(LITERALS))) & (F.length(said) > 0), F.xxhash64(said))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -79,7 +86,7 @@ def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     n_windows = windows.count()
     lengths = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most WINDOW different ones
     raw = raw_words(F.col("text").cast("string"))
-    texts = docs.where(F.length(raw) > 0).select(_key(F.col("text").cast("string")).alias("key"), raw.alias("raw"), canonical(raw).alias("said")).select("key", F.split("raw", " ").alias("raw"), F.split("said", " ").alias("canon"))
+    texts = docs.where("text is not null").select(_key(F.col("text").cast("string")).alias("key"), raw.alias("raw")).select("key", "raw", canonical(F.col("raw")).alias("said")).select("key", F.split("raw", " ").alias("raw"), F.split("said", " ").alias("canon"))
     if n_windows > SMALL:
         texts = texts.dropDuplicates(["key"])
     met = None
@@ -87,7 +94,8 @@ def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
         step = STRIDE if size == WINDOW else 1
         starts = F.when(F.size("canon") >= size, F.sequence(F.lit(0), F.size("canon") - size, F.lit(step))).otherwise(F.array().cast("array<int>"))
         last = F.when(F.size("canon") >= size, F.array(F.size("canon") - size)).otherwise(F.array().cast("array<int>"))
-        placed = texts.select("key", "raw", "canon", F.explode(F.array_union(starts, last)).alias("p")).withColumn("hash", _window(F.col("canon"), F.col("p"), F.lit(size)))
+        # An outer generator: for another one Catalyst infers a filter that computes all words again.
+        placed = texts.select("key", "raw", "canon", F.explode_outer(F.concat(starts, last)).alias("p")).withColumn("hash", _window(F.col("canon"), F.col("p"), F.lit(size)))
         own = windows.where(F.col("size") == size).drop("size")
         if n_windows <= SMALL:
             here = placed.join(F.broadcast(own), "hash")
