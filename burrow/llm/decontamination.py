@@ -2,7 +2,8 @@
 
 Texts and benchmark items become canonical tokens: numbers, units and names are
 replaced by typed placeholders, punctuation goes and letters are folded, one token
-for one word, so raw and canonical words stay aligned. Windows of ``WINDOW``
+for one word, so raw and canonical words stay aligned. A name is a capitalised word
+after one that isn't and doesn't end a sentence, so text in title case has none. Windows of ``WINDOW``
 canonical tokens are hashed: every window of an item, and every ``STRIDE``-th of a
 text, so any shared run of ``WINDOW + STRIDE - 1`` tokens meets. Windows with fewer
 than ``LITERALS`` literal tokens say too little and aren't used.
@@ -53,7 +54,7 @@ def canonical(raw: Column) -> Column:
     Every expression begins with a literal, so that it is tried only where one stands.
     """
     out = F.when(raw.rlike("[0-9]"), F.regexp_replace(F.concat(F.lit(" "), raw), r" [^ 0-9]*+[0-9][^ ]*+", " \u0001n")).otherwise(F.concat(F.lit(" "), raw))
-    out = F.regexp_replace(out, r" (?<=[a-z,;] )[A-Z][a-z]+(?:['’]s)?" + _END, " \u0001m")
+    out = F.regexp_replace(out, r" (?=[A-Z])(?<= [a-z][^ .!?:]{0,40} )[A-Z][a-z]+(?:['’]s)?" + _END, " \u0001m")
     out = F.translate(out, _A + _MARKS, _Z)
     out = F.regexp_replace(out, f" (?:{NUMBERS.replace(' ', '|')})(?= |$)", " \u0001n")
     return F.substring(F.regexp_replace(out, f" (?:{UNITS.replace(' ', '|')})(?= |$)", " \u0001u"), 2, 1 << 30)
@@ -132,6 +133,6 @@ def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, all their columns, that hold no benchmark item."""
-    found = contamination(docs, items.select(F.col("item_id").cast("long").alias("item_id"), "text")).select(F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.coalesce(_key(F.col("text").cast("string")), F.lit(b"")))
-    return keyed.join(found, "_key", "left_anti").drop("_key")
+    found = contamination(docs, items.select(F.col("item_id").cast("long").alias("item_id"), "text")).select(F.col("key").alias("_burrow_key")).distinct()
+    keyed = docs.withColumn("_burrow_key", F.coalesce(_key(F.col("text").cast("string")), F.lit(b"")))
+    return keyed.join(found, "_burrow_key", "left_anti").drop("_burrow_key")

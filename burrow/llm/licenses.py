@@ -1,7 +1,6 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences (a line wrapped before a lower-case letter is rejoined
-first), each is normalised to lower-case words, and known licence sentences are
+A text is cut into sentences (lines that a sentence runs over are rejoined first), each is normalised to lower-case words, and known licence sentences are
 mapped to their identifiers. The sequence of identifiers is matched against ordered
 rules: a rule holds if its identifiers occur in its order. Only expressions of Spark
 run, and no shuffle.
@@ -80,6 +79,8 @@ RULES = (
 
 #: Every known sentence holds one of these words, so a text without them has no identifier.
 ANCHORS = ("licen[sc]e", "rights reserved", "copyright", "warrant", "redistribut", "permission", "free software", "liable")
+#: A line goes on with the next one if that begins so: in lower case, or with a word of the sentences that keeps its capital.
+_GOES_ON = r"([^.!?:\n])\n *((?:[a-z]|Software|License|Apache|GNU|General|Public|Free|Foundation|Mozilla|Creative|Commons|Attribution|International)[a-z]*)"
 _ANCHOR = "(?i)" + "|".join(a.replace(" ", "[^A-Za-z0-9]+") for a in ANCHORS)
 
 
@@ -94,7 +95,7 @@ def _order(ids: tuple[int, ...]) -> str:
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    joined = F.regexp_replace(F.regexp_replace(text, r"([^.!?:\n])\n *([a-z])", "$1 $2"), r"([.!?])\s+", "$1\n")
+    joined = F.regexp_replace(F.regexp_replace(text, _GOES_ON, "$1 $2"), r"([.!?])\s+", "$1\n")
     known = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (v, k)))
     each = lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " ")))
     near = F.filter(F.split(joined, "\n"), lambda s: s.rlike(_ANCHOR))
@@ -121,7 +122,7 @@ def sql() -> str:
     return rf"""
 WITH known(id, sentence) AS (VALUES {known}), rules(n, name, pattern) AS (VALUES {rules}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT r, string_split(regexp_replace(regexp_replace(text, '([^.!?:\n])\n *([a-z])', '\1 \2', 'g'), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)) AS s FROM docs),
+lines AS (SELECT r, string_split(regexp_replace(regexp_replace(text, '{_GOES_ON}', '\1 \2', 'g'), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)) AS s FROM docs),
 said AS (SELECT r, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS sentence FROM lines),
 ids AS (SELECT r, count(*) AS n_sentences, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS sentence_ids
   FROM said JOIN known ON known.sentence = trim(regexp_replace(translate(said.sentence, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) GROUP BY r),

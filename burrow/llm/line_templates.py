@@ -70,28 +70,28 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, copy_share: float
 
 
 def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """The documents with _kept (what is left of the text), _n_lines and _n_dropped."""
+    """The documents with _burrow_kept (what is left of the text), _burrow_n_lines and _burrow_n_dropped."""
     text = F.col("text").cast("string")
     lines = F.split(text, "\n", -1)
-    gone = drops.select(F.col("key").alias("_key"), F.col("lines").alias("_lines"))
-    joined = docs.withColumn("_key", _key(text)).join(gone, "_key", "left")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    kept = F.when(F.col("_lines").isNull(), text).otherwise(left)
-    return joined.withColumns({"_kept": kept, "_n_lines": F.size(lines).cast("long"), "_n_dropped": F.coalesce(F.size("_lines"), F.lit(0)).cast("long")}).drop("_key", "_lines")
+    gone = drops.select(F.col("key").alias("_burrow_key"), F.col("lines").alias("_burrow_lines"))
+    joined = docs.withColumn("_burrow_key", _key(text)).join(gone, "_burrow_key", "left")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_burrow_lines", i)), "\n")
+    kept = F.when(F.col("_burrow_lines").isNull(), text).otherwise(left)
+    return joined.withColumns({"_burrow_kept": kept, "_burrow_n_lines": F.size(lines).cast("long"), "_burrow_n_dropped": F.coalesce(F.size("_burrow_lines"), F.lit(0)).cast("long")}).drop("_burrow_key", "_burrow_lines")
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """The documents, all their columns, without recurring lines; a text of which nothing is left goes."""
-    cut_docs = without_lines(docs, dropped_lines(docs)).where((F.col("_n_dropped") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    changed = F.col("_n_dropped") > 0
-    out = [F.when(changed, F.col("_kept")).otherwise(F.col(c)).alias(c) if c == "text" else F.when(changed, F.length("_kept").cast(k)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, k in docs.dtypes]
+    cut_docs = without_lines(docs, dropped_lines(docs)).where((F.col("_burrow_n_dropped") == 0) | F.col("_burrow_kept").rlike(r"[^\x20\x09-\x0D]"))
+    changed = F.col("_burrow_n_dropped") > 0
+    out = [F.when(changed, F.col("_burrow_kept")).otherwise(F.col(c)).alias(c) if c == "text" else F.when(changed, F.length("_burrow_kept").cast(k)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, k in docs.dtypes]
     return cut_docs.select(*out)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = F.sha2(F.coalesce("_kept", F.lit("")).cast("binary"), 256)
-    return without_lines(picked, dropped_lines(picked)).select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines")).cast("long").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+    kept = F.sha2(F.coalesce("_burrow_kept", F.lit("")).cast("binary"), 256)
+    return without_lines(picked, dropped_lines(picked)).select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("_burrow_n_lines")).cast("long").alias("n_lines"), F.col("_burrow_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
 
 
 def sql(min_texts: int = MIN_TEXTS, copy_share: float = COPY_SHARE) -> str:

@@ -81,7 +81,7 @@ def scale_small(tokens: np.ndarray, weight: np.ndarray, rate: float) -> float:
     return float(c[np.argmax((c * w <= 1) & (rest > 0))])
 
 
-def scale_large(cells: DataFrame, rate: float, steps: int = 60) -> float:
+def scale_large(cells: DataFrame, rate: float, steps: int = 40) -> float:
     """The same by bisection over aggregates of the cells."""
     total, top = cells.agg(F.sum("tokens"), F.max("weight")).first()
     if not total:
@@ -113,48 +113,45 @@ def weights_large(cells: DataFrame, temper: float = TEMPER, rounds: int = ROUNDS
         for d, target in zip(DIMENSIONS, targets, strict=True):
             have = out.groupBy(F.col(d).alias("_d")).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_h"))
             scale = have.join(target, "_d").where("_h > 0").select(F.col("_d"), (F.col("_t") / F.col("_h")).alias("_s"))
-            out = out.join(scale, out[d] == scale["_d"], "left").withColumn("weight", F.col("weight") * F.coalesce("_s", F.lit(1.0))).drop("_d", "_s")
-        out = cut(out)
+            out = cut(out.join(scale, out[d] == scale["_d"], "left").withColumn("weight", F.col("weight") * F.coalesce("_s", F.lit(1.0))).drop("_d", "_s"))
     return out.withColumn("weight", F.when(F.col("tokens") > 0, F.col("weight")).otherwise(1.0))
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """source, language, topic and tokens of each document, nulls as a value of their own, under names that can't clash."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    counted = docs.withColumn("_tokens", n_tokens(text))
-    return counted.withColumns({"_source": known("source"), "_language": known("lang"), "_topic": topic(text, F.col("_tokens"))})
+    """row (all columns of a document), source, language, topic and tokens; a null source or language is a value of its own."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"row.{c}").cast("string")), F.lit("null"))
+    counted = rows.withColumn("tokens", n_tokens(text))
+    return counted.withColumns({"source": known("source"), "language": known("lang"), "topic": topic(text, F.col("tokens"))})
 
 
 def mix(docs: DataFrame, temper: float = TEMPER, rate: float = RATE, rounds: int = ROUNDS, small: int = SMALL) -> DataFrame:
-    """The documents with _source, _language, _topic, _tokens, _weight, _probability, _repeat and _sampled."""
+    """Of each document: row (its columns), source, language, topic, tokens, weight, probability, repeat and sampled."""
     rows = described(docs)
-    keys = [f"_{d}" for d in DIMENSIONS]
-    cells = rows.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).select(*(F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS, strict=True)), "tokens")
+    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     head = cells.limit(small + 1).collect()
     spark = docs.sparkSession
     if len(head) <= small:
         head = sorted(map(tuple, head))
         found = weights_small(head, temper, rounds)
         scale = scale_small(np.array([c[3] for c in head], float), found, rate) if head else rate
-        weights = F.broadcast(spark.createDataFrame([(*c[:3], float(w)) for c, w in zip(head, found, strict=True)], "s string, l string, t string, _weight double"))
+        weights = F.broadcast(spark.createDataFrame([(*c[:3], float(w)) for c, w in zip(head, found, strict=True)], "source string, language string, topic string, weight double"))
     else:
-        weighed = weights_large(cut(cells), temper, rounds)
+        weighed = cut(weights_large(cut(cells), temper, rounds))
         scale = scale_large(weighed, rate)
-        weights = weighed.select(F.col("source").alias("s"), F.col("language").alias("l"), F.col("topic").alias("t"), F.col("weight").alias("_weight"))
-    joined = rows.join(weights, (F.col("_source") == F.col("s")) & (F.col("_language") == F.col("l")) & (F.col("_topic") == F.col("t"))).drop("s", "l", "t")
-    chance = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    scaled = F.col("_weight") * scale
-    chosen = joined.withColumns({"_probability": F.round(F.least(F.lit(1.0), scaled), 9), "_repeat": F.round(F.greatest(F.lit(1.0), scaled), 6), "_weight": F.round("_weight", 6)})
-    return chosen.withColumn("_sampled", chance < F.col("_probability"))
+        weights = weighed.select(*DIMENSIONS, "weight")
+    chance = F.conv(F.substring(F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    scaled = F.col("weight") * scale
+    joined = rows.join(weights, list(DIMENSIONS))
+    chosen = joined.withColumns({"probability": F.round(F.least(F.lit(1.0), scaled), 9), "repeat": F.round(F.greatest(F.lit(1.0), scaled), 6)})
+    return chosen.withColumns({"weight": F.round("weight", 6), "sampled": chance < F.col("probability")}).select("row", *DIMENSIONS, "tokens", "weight", "probability", "repeat", "sampled")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     strip = lambda c: F.when(F.col(c) != "null", F.substring(c, 2, 1 << 20))
-    return mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source", "lang")).select(
-        "doc_id", strip("_source").alias("source"), strip("_language").alias("language"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
-        F.col("_weight").alias("weight"), F.round("_probability", 6).alias("probability"), F.col("_repeat").alias("repeat"), F.col("_sampled").alias("sampled"),
-    )
+    mixed = mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang"))
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), strip("source").alias("source"), strip("language").alias("language"), "topic", "tokens", "weight", F.round("probability", 6).alias("probability"), "repeat", "sampled")
 
 
 def sql(rounds: int = ROUNDS, temper: float = TEMPER, rate: float = RATE) -> str:

@@ -162,14 +162,17 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all their columns, whose P(grade >= 1) reaches KEEP_AT; scored row by row, so ids needn't be unique."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, grades_of(labels), 3))
 
+    text = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for first, end, data, offsets in slices(batch.column(batch.schema.get_field_index("text"))):
+            for first, end, data, offsets in slices(batch.column(text)):
                 keep[first:end] = shared.value.tails(shared.value.score(data, offsets))[:, 0] >= KEEP_AT
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # whatever the columns are called
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
