@@ -35,8 +35,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id. Rows that share that id stay together."""
     judged = near_duplicates.near_duplicates(docs, size=SHINGLE, num=NUM, den=DEN)
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_burrow_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_burrow_gone"), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by calibrated probabilities, with their topic, weight and probability."""
-    mixed = mixing.mix(docs).where("_sampled")
-    added = {"_topic": "mix_topic", "_tokens": "mix_tokens", "_weight": "mix_weight", "_probability": "mix_probability", "_repeat": "mix_repeat"}
-    return mixed.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(k).alias(v) for k, v in added.items() if v not in docs.columns))
+    mixed = mixing.mix(docs).where("sampled")
+    added = (F.col(c).alias(f"mix_{c}") for c in ("topic", "tokens", "weight", "probability", "repeat") if f"mix_{c}" not in docs.columns)
+    return mixed.select(*(F.col(f"row.`{c}`") for c in docs.columns), *added)
 
 
 STAGES = [
