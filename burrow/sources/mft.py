@@ -170,7 +170,7 @@ def parse(record: bytes, ref: int) -> dict | None:
             row["size"] = struct.unpack_from("<q", record, at + 0x30)[0] if record[at + 8] else struct.unpack_from("<I", record, at + 0x10)[0]
         elif kind == ATTRIBUTE_LIST:
             row["has_list"] = True
-            row["extensions"] += [x for x in _listed(record, at) if x != ref and x not in row["extensions"]]
+            row["extensions"] = list(dict.fromkeys([*row["extensions"], *(x for x in _listed(record, at) if x != ref)]))
     return row
 
 
