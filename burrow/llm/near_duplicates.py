@@ -114,11 +114,14 @@ def _alike(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same))
 
 
-def _texts(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """set_id and text of the wanted classes (rep, set_id). Rows are chosen by id, and only theirs are cut into shingles again."""
+def _rows_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows that may hold the text of a wanted class (rep, set_id): those with its id."""
     reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    if wanted.count() <= SMALL:
-        reps = F.broadcast(reps)
+    return rows.join(F.broadcast(reps) if wanted.count() <= SMALL else reps, "doc_id", "left_semi").select("text")
+
+
+def _texts(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """set_id and text of the wanted classes. Only rows of their ids are cut into shingles again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,20 +129,22 @@ def _texts(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 names = _digest(*sets(data, offsets, size))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(0).slice(first, end - first)], ["set_id", "text"])
 
-    named = rows.join(reps, "doc_id", "left_semi").select("text").mapInArrow(run, "set_id binary, text binary")
+    named = _rows_of(rows, wanted).mapInArrow(run, "set_id binary, text binary")
     return named.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
 
 
-def _wide(texts: DataFrame, size: int) -> DataFrame:
-    """set_id and wide sketch of classes."""
+def _wide(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """set_id and wide sketch of the wanted classes: a byte for each hash, and one more for those of the trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column(1)):
-                found = _least(*sets(data, offsets, size), WIDE, 8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([x.tobytes() for x in found], pa.binary())], ["set_id", "wide"])
+            for _, _, data, offsets in slices(batch.column(0)):
+                tokens, cut_ = sets(data, offsets, size)
+                found = np.concatenate([_least(tokens, cut_, WIDE, 8), _least(tokens, cut_, HASHES, 32).astype(np.uint8)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(_digest(tokens, cut_), pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["set_id", "wide"])
 
-    return texts.select("set_id", "text").mapInArrow(run, "set_id binary, wide binary")
+    named = _rows_of(rows, wanted).mapInArrow(run, "set_id binary, wide binary")
+    return named.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("wide").alias("wide"))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -163,25 +168,35 @@ PAIRS = "key long, a long, set_a binary, b long, set_b binary"
 
 
 def _compared(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one node that may be linked: (node, size, rep, set_id, root, n, wide), in blocks that fit a task."""
+    """Pairs of one node that may be linked: (node, tree, size, rep, set_id, root, n, wide), in blocks that fit a task.
+
+    A pair that stays together on all levels of an earlier tree was compared there, and isn't listed again.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     key = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(key.alias("key"), "own", (F.col("own") == F.col("other")).alias("alone"), "rep", "set_id", "root", "n", "wide")
+    dealt = dealt.select(key.alias("key"), "tree", "own", (F.col("own") == F.col("other")).alias("alone"), "rep", "set_id", "root", "n", "wide")
     least = agreement(WIDE, num, den, 8)
+    paths = np.array([[level_hash(t, level) for level in range(1, LEVELS + 1)] for t in range(TREES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, table in _grouped(batches):
-            own, rep, root, n = (table.column(c).to_numpy() for c in ("own", "rep", "root", "n"))
+            tree, own, rep, root, n = (table.column(c).to_numpy() for c in ("tree", "own", "rep", "root", "n"))
+            before = paths[: tree[0]]
             alone = table.column("alone").combine_chunks().to_numpy(zero_copy_only=False)
-            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8).reshape(len(rep), WIDE)
+            wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8).reshape(len(rep), WIDE + HASHES)
             left, right = [], []
             for i in range(len(rep) - 1):
                 fits = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) * den >= np.maximum(n[i + 1 :], n[i]) * num)
                 fits &= (own[i + 1 :] == own[i]) if alone[i] else (own[i + 1 :] != own[i])
                 near = np.flatnonzero(fits) + i + 1
-                near = near[(wide[near] == wide[i]).sum(axis=1) >= least]
+                same = wide[near] == wide[i]
+                fine = same[:, :WIDE].sum(axis=1) >= least
+                if len(before):
+                    both = same[:, :HASHES] & same[:, WIDE:]
+                    fine &= ~both[:, before].all(axis=2).any(axis=1)
+                near = near[fine]
                 left += [i] * len(near)
                 right += near.tolist()
             if left:
@@ -230,40 +245,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = usable.select("doc_id", "set_id").join(classes.select("set_id", "rep"), "set_id").select("doc_id", "rep")
     shared_ids = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     same_id = members.join(shared_ids.select("doc_id", F.col("a").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
-    branches = lambda df, *more: df.select(*more, "set_id", F.posexplode(F.slice("least", 1, TREES)).alias("tree", "token")).withColumn("node", F.xxhash64("tree", "token")).drop("token")
 
-    # First level: each member against the least of its node.
-    nodes = branches(classes, "rep")
+    # First level: each member against the least of its node. Nodes of one member go here.
+    nodes = classes.select("rep", "set_id", F.posexplode(F.slice("least", 1, TREES)).alias("tree", "token")).withColumn("node", F.xxhash64("tree", "token")).drop("token")
     centre = nodes.groupBy("node").agg(F.min(F.struct("rep", "set_id")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    star = nodes.join(centre, "node").where("set_id <> c.set_id").select(F.col("c.set_id").alias("set_a"), F.col("set_id").alias("set_b")).distinct()
+    nodes = cut(nodes.join(centre.select("node", F.col("c.set_id").alias("centre")), "node").select("node", "tree", "set_id", "centre"))
+    star = nodes.where("set_id <> centre").select(F.col("centre").alias("set_a"), F.col("set_id").alias("set_b")).distinct()
     for side in ("a", "b"):
         star = star.join(classes.select(F.col("set_id").alias(f"set_{side}"), F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("least").alias(f"least_{side}")), f"set_{side}")
     fits = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
     star = cut(star.where(fits & (_alike(F.col("least_a"), F.col("least_b")) >= agreement(HASHES, num, den))).select("a", "set_a", "b", "set_b"))
     sizes = star.groupBy("set_a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     keyed = star.join(sizes, "set_a").select(F.xxhash64("set_a", F.pmod(F.xxhash64("set_b"), "blocks")).alias("key"), "a", "set_a", "b", "set_b")
-    first = cut(_verified(keyed, cut(_texts(rows, _sides(star), size)), size, num, den).unionAll(same_id))
+    first = cut(_verified(keyed, _texts(rows, _sides(star), size), size, num, den).unionAll(same_id))
     roots = components(first)
 
     # Then nodes that hold several components, level by level.
-    known = cut(classes.select("rep", "set_id").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "set_id", F.coalesce("root", "rep").alias("root")))
-    rest = branches(known.join(classes.select("set_id", "least"), "set_id"), "root")
+    known = classes.select("rep", "set_id").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("root"))
+    rest = nodes.select("node", "tree", "set_id").join(known, "set_id")
     compare = None
     for level in range(1, LEVELS + 1):
         if level > 1:
             branch = F.array(*(F.get("least", F.lit(level_hash(t, level))) for t in range(TREES)))
-            rest = rest.join(classes.select("set_id", "least"), "set_id").withColumn("node", F.xxhash64("node", F.get(branch, F.col("tree")))).select("root", "set_id", "tree", "node")
+            rest = rest.join(classes.select("set_id", "least"), "set_id").withColumn("node", F.xxhash64("node", F.get(branch, F.col("tree")))).select("node", "tree", "set_id", "root")
         held = rest.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node", "size")
-        mixed = cut(rest.join(held, "node"))
-        done = (mixed if level == LEVELS else mixed.where(F.col("size") <= NODE)).select("node", "size", "set_id", "root")
+        mixed = cut(rest.join(held, "node").select("node", "tree", "size", "set_id", "root"))
+        done = mixed if level == LEVELS else mixed.where(F.col("size") <= NODE)
         compare = done if compare is None else compare.unionAll(done)
         rest = mixed.where(F.col("size") > NODE).drop("size")
-    compare = cut(compare)
-    met = cut(classes.select("rep", "set_id", "n").join(compare.select("set_id").distinct(), "set_id"))
-    texts = cut(_texts(rows, met, size))
-    wide = met.join(_wide(texts, size), "set_id")
-    pairs = cut(_compared(compare.join(cut(wide), "set_id"), num, den).groupBy("set_a", "set_b").agg(F.min(F.struct("key", "a", "b")).alias("p")).select("p.key", "p.a", "set_a", "p.b", "set_b"))
-    second = _verified(pairs, texts, size, num, den)
+    met = classes.select("rep", "set_id", "n").join(compare.select("set_id").distinct(), "set_id")
+    wide = cut(met.join(_wide(rows, cut(met.select("rep", "set_id")), size), "set_id"))
+    pairs = _compared(compare.join(wide, "set_id"), num, den).groupBy("set_a", "set_b").agg(F.min(F.struct("key", "a", "b")).alias("p"))
+    pairs = cut(pairs.select("p.key", "p.a", "set_a", "p.b", "set_b"))
+    second = _verified(pairs, _texts(rows, _sides(pairs), size), size, num, den)
     joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(second))
 
     named = sketched.select("doc_id", "n", "set_id").join(classes.select("set_id", "rep"), "set_id", "left").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
