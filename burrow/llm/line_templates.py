@@ -46,7 +46,8 @@ def line_templates(docs: DataFrame) -> DataFrame:
     tokens again for filters that it would infer and push below them.
     """
     text = F.col("text").cast("string")
-    lines = docs.where(text.isNotNull()).select(_key(text).alias("key"), F.regexp_count(text, F.lit(_WORD)).alias("words"), F.posexplode_outer(F.split(text, "\n", -1)).alias("line", "said"))
+    keyed = docs.where(text.isNotNull()).select(_key(text).alias("key"), F.regexp_count(text, F.lit(_WORD)).alias("words"), text.alias("text"))
+    lines = keyed.select("key", "words", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "said"))  # beside a generator, an expression runs for each of its rows
     masked = F.when(F.col("said").rlike("[0-9]"), F.regexp_replace("said", _FIELD, "<*>")).otherwise(F.col("said"))
     tokens = lines.select("key", "words", "line", F.array_remove(F.split(F.translate(masked, "\t\x0b\x0c\r", "    "), " "), "").alias("t"))
     half = F.floor(F.size("t") / 2).cast("int")
