@@ -69,6 +69,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": secret_scan.sql(),
     "op2_license_scan": licenses.sql(),
     "op6_near_duplicates": near_duplicates.sql(),
     "op7_mix_sources": mixing.sql(),

@@ -261,3 +261,21 @@ def brute_force(text: str | None, rules: Iterable[Rule] = RULES) -> str:
 
 def digest(spans: str) -> str:
     return hashlib.sha256(spans.encode()).hexdigest()
+
+
+def sql() -> str:
+    """The same in DuckDB: the texts between matches give their places."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    found = []
+    for k, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("(?i:(password|passwd|secret|token|api_?key))", "(" + "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key"))) + ")").replace("'", "''")
+        found.append(rf"""SELECT r, {k} AS k, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, unnest(range(1, len(m) + 1)) AS i, m, g, string_split_regex(t, '{pattern}') AS parts, {rule.least} AS least
+  FROM (SELECT r, t, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g FROM d) WHERE len(m) > 0""")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in RULES if r.base)
+    names = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES if r.base)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(found)}),
+p AS (SELECT r, k, kind, base, length(array_to_string(parts[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS s, length(m[i]) AS n FROM f WHERE length(g[i]) >= least),
+a AS (SELECT r, {counts}, string_agg(concat(kind, ':', s, ':', s + n), ',' ORDER BY s, k) AS spans, string_agg(concat(kind, ':', s, ':', s + n), ',' ORDER BY s, k) FILTER (WHERE base) AS told FROM p GROUP BY r)
+SELECT doc_id, {names}, sha256(coalesce(told, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)"""
