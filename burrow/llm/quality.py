@@ -1,7 +1,7 @@
 """Quality by ordinal regression: a cumulative-link model over graded ratings.
 
 P(grade > k) = sigmoid(score - threshold[k]) with one score for all grades, made
-of weights of hashed words and of byte pairs (rates) and two dense rates, and with
+of weights of hashed words, byte pairs (rates), repeated words and length, and with
 thresholds kept in order by construction. Fitted on a bounded sample of labelled
 rows (``sample``, smallest hashes of their ids); only sparse counts of those rows
 reach the driver. Scoring reads every whole text once, without a shuffle.
@@ -31,7 +31,7 @@ SAMPLE = 6000
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray):
-    """Word buckets with their rows, and byte pairs with their rows, and the two dense rates."""
+    """Word buckets and their rows (a word that repeats the one before it counts only as a repeat), byte pairs, word counts, and the dense features."""
     n = len(offsets) - 1
     starts, ends, rows = words(data, offsets)
     hashes = word_hashes(data, starts, ends)
@@ -40,8 +40,8 @@ def _parts(data: np.ndarray, offsets: np.ndarray):
     counts = np.bincount(rows, minlength=n)
     again = np.zeros(len(hashes))
     again[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
-    dense = np.stack([np.bincount(rows, again, n) / np.maximum(counts, 1), np.log1p(counts) / 10], axis=1)
-    return buckets, rows, pairs, counts, dense
+    dense = np.stack([10 * np.bincount(rows, again, n) / np.maximum(counts, 1), np.log1p(counts) / 10], axis=1)
+    return buckets[again == 0], rows[again == 0], pairs, counts, dense
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
