@@ -5,8 +5,8 @@ chain is a sentence (cut after ``CHAIN`` tokens). Two states; the toxic state's
 emission is the sum of hashed weights of the token, of its beginnings of some
 lengths, and of its two neighbours. Document labels become token labels first: in a
 toxic document, tokens that are, or begin with, something whose document counts
-separate toxic from clean documents (a likelihood ratio over ``SEPARATES``) are
-toxic; every other token is clean. The field is fitted to these
+separate toxic from clean documents (a likelihood ratio over ``SEPARATES``, where
+near copies count once together) are toxic; every other token is clean. The field is fitted to these
 by its conditional likelihood on a bounded sample of labelled rows.
 
 Scoring runs forward-backward over all chains of every whole text. A document's
@@ -34,7 +34,7 @@ from burrow.llm.kernels import ascii_lower, mix, slices, word_hashes
 BITS = 18
 CHAIN = 256
 SAMPLE = 2400
-SEPARATES = 16.0
+SEPARATES = 24.0
 PREDICT_AT = 0.3
 #: Bytes of a token's beginnings that are features; a token must be longer. Bucket 0 stands for none and keeps weight 0.
 BEGINNINGS = (4, 5, 6)
@@ -148,13 +148,26 @@ def summary(logits: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), top, np.log1p(np.bincount(rows, _sigmoid(logits), n))], axis=1)
 
 
+def copy_weights(docs: list[np.ndarray], hashes: int = 64) -> np.ndarray:
+    """One over the size of each document's group of near copies, from least values of its words: copies count once together."""
+    rng = np.random.Generator(np.random.PCG64(91))
+    odd = rng.integers(1, 1 << 62, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.array([mix(np.unique(d[:, 0]).astype(np.uint64)[:, None] * odd).min(axis=0) if len(d) else np.arange(hashes) + k * hashes for k, d in enumerate(docs)], np.uint64)
+    root = np.arange(len(docs))
+    for i in range(len(docs) - 1):
+        for j in np.flatnonzero((least[i + 1 :] == least[i]).mean(axis=1) >= 0.5) + i + 1:
+            if root[i] != root[j]:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return 1 / np.bincount(root, minlength=len(docs))[root]
+
+
 def token_labels(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Buckets whose document counts separate toxic from clean documents (not those of none)."""
-    size = 1 << BITS
+    size, heft = 1 << BITS, copy_weights(docs)
     hit, miss = np.zeros(size), np.zeros(size)
-    for d, y in zip(docs, toxic, strict=True):
-        (hit if y else miss)[np.unique(d)] += 1
-    nt, nc = max(int(toxic.sum()), 1), max(int(len(toxic) - toxic.sum()), 1)
+    for d, y, w in zip(docs, toxic, heft, strict=True):
+        (hit if y else miss)[np.unique(d)] += w
+    nt, nc = max(heft[toxic == 1].sum(), 1), max(heft[toxic == 0].sum(), 1)
     share = (hit + miss) / (nt + nc)
 
     def part(count: np.ndarray, expected: np.ndarray) -> np.ndarray:
