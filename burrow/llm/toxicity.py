@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burrow.llm.kernels import ascii_lower, mix, slices, word_hashes
+from burrow.llm.kernels import ascii_lower, mix, shingles, slices, word_hashes
 
 BITS = 18
 CHAIN = 256
@@ -149,10 +149,17 @@ def summary(logits: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def copy_weights(docs: list[np.ndarray], hashes: int = 64) -> np.ndarray:
-    """One over the size of each document's group of near copies, from least values of its words: copies count once together."""
+    """One over the size of each document's group of near copies, from least values of its word shingles: copies count once together."""
     rng = np.random.Generator(np.random.PCG64(91))
     odd = rng.integers(1, 1 << 62, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.array([mix(np.unique(d[:, 0]).astype(np.uint64)[:, None] * odd).min(axis=0) if len(d) else np.arange(hashes) + k * hashes for k, d in enumerate(docs)], np.uint64)
+
+    def sketch(k: int, words: np.ndarray) -> np.ndarray:
+        if not len(words):  # like no other
+            return np.arange(hashes, dtype=np.uint64) + np.uint64((k + 1) * hashes)
+        found, _ = shingles(words.astype(np.uint64), np.zeros(len(words), np.int64), 4)
+        return mix(np.unique(found)[:, None] * odd).min(axis=0)
+
+    least = np.array([sketch(k, d[:, 0]) for k, d in enumerate(docs)], np.uint64)
     root = np.arange(len(docs))
     for i in range(len(docs) - 1):
         for j in np.flatnonzero((least[i + 1 :] == least[i]).mean(axis=1) >= 0.5) + i + 1:
