@@ -28,9 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint."""
+    """Cuts the lineage with a reliable checkpoint.
+
+    Shuffle files and checkpoints that nothing refers to any more go only when the
+    driver collects its garbage, so it is asked to: a job of many rounds would
+    otherwise keep the files of all of them.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
