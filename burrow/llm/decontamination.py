@@ -8,11 +8,12 @@ canonical tokens are hashed: every window of an item, and every ``STRIDE``-th of
 text, so any shared run of ``WINDOW + STRIDE - 1`` tokens meets. Windows with fewer
 than ``LITERALS`` literal tokens say too little and aren't used.
 
-A meeting aligns an item with a text. Over the alignments of a text and an item,
-``coverage`` is the share of the item's positions whose canonical tokens agree; the
-slots (agreeing placeholders) are consistent if no value of the item stands for two
-values of the text. A text is contaminated by an item if coverage reaches
-``COVERAGE`` and the slots are consistent; it is re-parameterised if slot values differ.
+A meeting aligns an item with a text. A chain takes each position of the item from one
+alignment: from any one alone, or as changes between them pay. Its ``coverage`` is the
+share of the item's positions whose canonical tokens agree; its slots (agreeing
+placeholders) are consistent if no value of the item stands for two values of the text,
+marks around values aside. A text is contaminated by an item if the coverage of a chain
+with consistent slots reaches ``COVERAGE``; it is re-parameterised if slot values differ.
 
 Texts are told apart by digest, so copies are judged once. The item windows are
 broadcast up to ``SMALL`` of them and shuffled beyond that; texts are never
@@ -77,6 +78,32 @@ def item_windows(items: DataFrame) -> DataFrame:
     return placed.withColumn("hash", _window(F.col("item_canon"), F.col("at"), F.col("size"))).where("hash is not null")
 
 
+def _value(raw: Column) -> Column:
+    """A slot's value: the word without marks around it, letters folded."""
+    return F.btrim(F.translate(raw, _A, _Z), F.lit(_MARKS))
+
+
+#: What a change from one alignment to another costs a chain; a position gains 3, or 2 if its slot value differs.
+SWITCH = 3
+_COVERED = "size(filter({}, x -> x is not null))"
+#: All alignments at once: at each position the item's own value if one of them has it, else any.
+_ANY = "transform(was, (w, i) -> if(exists(lines, l -> l.now[i] <=> w), w, element_at(filter(transform(lines, l -> l.now[i]), x -> x is not null) || array(null), 1)))"
+#: The alignments that may form a chain: all, those within an item's length of each one, and each alone.
+_SETS = "array_distinct(array(lines) || transform(lines, a -> filter(lines, b -> b.d between a.d and a.d + size(was))) || transform(lines, a -> array(a)))"
+#: The best chain of a set: one alignment for each position, by dynamic programming over positions.
+_CHAIN = f"""array_max(aggregate(sequence(0, size(was) - 1),
+  transform(chosen, l -> named_struct('score', 0, 'd', l.d, 'now', l.now, 'path', cast(array() as array<string>))),
+  (held, i) -> element_at(transform(array(array_max(held)), top -> transform(held, h -> named_struct(
+    'score', greatest(h.score, top.score - {SWITCH}) + case when h.now[i] is null then 0 when h.now[i] = was[i] then 3 else 2 end,
+    'd', h.d, 'now', h.now, 'path', if(top.score - {SWITCH} > h.score, top.path, h.path) || array(h.now[i])))), 1))).path"""
+_SLOTS = "filter(transform(c, (x, i) -> named_struct('was', was[i], 'now', x)), s -> startswith(s.now, '\u0001'))"
+_JUDGED = f"""element_at(transform(array({_SLOTS}), s -> named_struct('coverage', {_COVERED.format("c")} / size(was),
+  'unchanging', -cast(size(filter(s, x -> x.was <> x.now)) as bigint), 'n_slots', cast(size(s) as bigint),
+  'consistent', size(array_distinct(transform(s, x -> x.was))) = size(array_distinct(s)))), 1)"""
+#: The chain of most coverage, then of fewest changes, among those that suffice.
+_BEST = f"array_max(filter(transform(array_distinct(array(any) || transform({_SETS}, chosen -> {_CHAIN})), c -> {_JUDGED}), j -> j.consistent and j.coverage >= least))"
+
+
 def _key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
@@ -112,16 +139,15 @@ def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     if met is None:
         return docs.sparkSession.createDataFrame([], "key binary, item_id long, coverage double, n_slots long, n_changed long")
     lined = met.dropDuplicates(["key", "item_id", "d", "item_raw"])
-    agree = F.filter(F.transform("seg", lambda x, i: F.when(x == F.get("item_canon", i + F.col("skip")), i)), lambda i: i.isNotNull())
-    found = lined.withColumn("agree", agree)
-    slots = F.filter("agree", lambda i: F.get("seg", i).startswith("\u0001"))
-    pairs = F.transform(slots, lambda i: F.struct((i + F.col("skip")).alias("at"), F.get("item_raw", i + F.col("skip")).alias("was"), F.get("seg_raw", i).alias("now")))
-    one = found.select("key", "item_id", F.size("item_canon").alias("size"), F.transform("agree", lambda i: i + F.col("skip")).alias("at"), pairs.alias("slots"))
+    # One value for each position: a literal, or a marked slot value; null where the text has another canonical token.
+    marked = lambda canon, raw: F.when(canon.startswith("\u0001"), F.concat(F.lit("\u0001"), _value(raw))).otherwise(canon)
+    was = F.transform("item_canon", lambda x, i: marked(x, F.get("item_raw", i)))
+    now = F.transform("item_canon", lambda x, i: F.when(x == F.get("seg", i - F.col("skip")), marked(x, F.get("seg_raw", i - F.col("skip")))))
     # Alignments of one text with one item: as many as the item has insertions in the text, and at most one a position of both.
-    whole = one.groupBy("key", "item_id", "size").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
-    values = lambda *names: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(*(s[n] for n in names)))))
-    judged = whole.select("key", "item_id", (F.size("at") / F.col("size")).alias("coverage"), F.size("slots").cast("long").alias("n_slots"), F.size(F.filter("slots", lambda s: s["was"] != s["now"])).cast("long").alias("n_changed"), (values("was") == values("was", "now")).alias("consistent"))
-    return judged.where((F.col("coverage") >= coverage) & F.col("consistent")).groupBy("key", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_slots").alias("n_slots"), F.min("n_changed").alias("n_changed"))
+    lines = lined.select("key", "item_id", was.alias("was"), F.struct("d", now.alias("now")).alias("line")).groupBy("key", "item_id", "was").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    near = lines.withColumn("least", F.lit(float(coverage))).withColumn("any", F.expr(_ANY)).where(f"{_COVERED.format('any')} / size(was) >= least")
+    judged = near.withColumn("best", F.expr(_BEST)).where("best is not null")
+    return judged.groupBy("key", "item_id").agg(F.max("best").alias("best")).select("key", "item_id", "best.coverage", "best.n_slots", (-F.col("best.unchanging")).alias("n_changed"))
 
 
 def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -43,6 +43,29 @@ def test_slots_must_be_consistent(spark):
     assert report(spark, [same, other], item) == [(0, 1, 3)]
 
 
+def test_each_alignment_is_judged_by_itself(spark):
+    """An item whose sentences are alike meets itself, and a text may hold it twice or in parts."""
+    one = "A train travels at 60 km per hour for 2 hours and then stops at the old station by the river"
+    two = "a train travels at 90 km per hour for 3 hours and then stops at the old station by the river"
+    item = f"{one}, while {two}."
+    other = item.replace("60", "70").replace("90", "80").replace("2", "5").replace("3", "6")
+    texts = [
+        f"We say: {item} So it goes.",
+        f"We say: {other} So it goes.",
+        f"{item} And again: {other} And {item.replace('60', '75')}",
+        f"{one}, as everybody in the whole town would know by now, while {two}.",
+        f"{two}. It was said in between that {one}, while",
+    ]
+    got = report(spark, texts, [(1, item)])
+    assert [r for r in got if r[0] in (0, 2)] == [(0, 1, 0), (2, 1, 0)] and (1, 1, 4) in got and {r[0] for r in got} == {0, 1, 2, 3, 4}
+
+
+def test_marks_beside_a_value_dont_count(spark):
+    item = [(1, "take 5 apples from the basket then put 5 pears back in and after that count 5, maybe more plums on the table by the door")]
+    texts = [item[0][1].replace("5 pears", "5, pears"), item[0][1].replace("5,", "8").replace("5", "8")]
+    assert report(spark, texts, item) == [(0, 1, 0), (1, 1, 3)]
+
+
 def slow(texts, items):
     """Brute force: the share of an item's words that stand in a text in one run, for texts that hold the whole item or none."""
     words = lambda t: [w for w in re.sub(r"[^a-z ]", "", re.sub(r"\s", " ", (t or "").lower())).split(" ") if w]
