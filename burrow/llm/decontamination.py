@@ -36,7 +36,6 @@ SMALL = 1_000_000
 #: Units that read <unit>, and number words that read <num>.
 UNITS = "km cm mm kg mg lb lbs oz miles mile meters metres meter metre feet inches hours hour minutes minute seconds second days weeks months years dollars dollar euros euro cents percent litres liters grams"
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
-_A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…–—¿¡"
 _WHITE = "\t\n\x0b\x0c\r"
 #: What may stand between a word's letters and the next space.
@@ -49,6 +48,11 @@ def raw_words(text: Column) -> Column:
     return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
 
 
+def _folded(text: Column) -> Column:
+    """Letters of any script in one case; by way of capitals, as ß becomes two. Without a step between, Catalyst drops the first."""
+    return F.lower(F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS")))
+
+
 def canonical(raw: Column) -> Column:
     """A text of canonical words, one for each word of ``raw``, separated by single spaces.
 
@@ -56,7 +60,7 @@ def canonical(raw: Column) -> Column:
     """
     out = F.when(raw.rlike("[0-9]"), F.regexp_replace(F.concat(F.lit(" "), raw), r" [^ 0-9]*+[0-9][^ ]*+", " \u0001n")).otherwise(F.concat(F.lit(" "), raw))
     out = F.regexp_replace(out, r" (?=[A-Z])(?<= [a-z][^ .!?:]{0,40} )[A-Z][a-z]+(?:['’]s)?" + _END, " \u0001m")
-    out = F.translate(out, _A + _MARKS, _Z)
+    out = _folded(F.translate(out, _MARKS, ""))
     out = F.regexp_replace(out, f" (?:{NUMBERS.replace(' ', '|')})(?= |$)", " \u0001n")
     return F.substring(F.regexp_replace(out, f" (?:{UNITS.replace(' ', '|')})(?= |$)", " \u0001u"), 2, 1 << 30)
 
@@ -80,7 +84,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 def _value(raw: Column) -> Column:
     """A slot's value: the word without marks around it, letters folded."""
-    return F.btrim(F.translate(raw, _A, _Z), F.lit(_MARKS))
+    return F.btrim(_folded(raw), F.lit(_MARKS))
 
 
 #: What a change from one alignment to another costs a chain; a position gains 3, or 2 if its slot value differs.

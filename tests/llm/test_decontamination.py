@@ -66,6 +66,17 @@ def test_marks_beside_a_value_dont_count(spark):
     assert report(spark, texts, item) == [(0, 1, 0), (1, 1, 3)]
 
 
+def test_letters_of_all_scripts_are_folded(spark):
+    items = [
+        (1, "där står ännu på ön en gård där älven är öppen året om så är även våren åter här"),
+        (2, "große straßen führen über die flüsse außerhalb der stadt während draußen alles weiß ist"),
+        (3, "ο δρόμος της πόλης είναι μακρύς και ο ήλιος καίει τους τοίχους όλης της παλιάς αγοράς"),
+    ]
+    texts = [f"xx yy {t.upper()} zz" for _, t in items] + [t.title() for _, t in items] + [t for _, t in items]
+    assert report(spark, texts, items) == [(k, k % 3 + 1, 0) for k in range(9)]
+    assert report(spark, [t for _, t in items], [(k, t.upper()) for k, t in items]) == [(k, k + 1, 0) for k in range(3)]
+
+
 def slow(texts, items):
     """Brute force: the share of an item's words that stand in a text in one run, for texts that hold the whole item or none."""
     words = lambda t: [w for w in re.sub(r"[^a-z ]", "", re.sub(r"\s", " ", (t or "").lower())).split(" ") if w]
