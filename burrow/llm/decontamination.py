@@ -4,9 +4,9 @@ Texts and benchmark items become canonical tokens: numbers, units and names are
 replaced by typed placeholders, punctuation goes and letters are folded, one token
 for one word, so raw and canonical words stay aligned. A name is a capitalised word
 after one that isn't and doesn't end a sentence, so text in title case has none. Windows of ``WINDOW``
-canonical tokens are hashed: every window of an item, and every ``STRIDE``-th of a
-text, so any shared run of ``WINDOW + STRIDE - 1`` tokens meets. Windows with fewer
-than ``LITERALS`` literal tokens say too little and aren't used.
+canonical tokens are hashed: every window of an item and of a text, so any shared run
+of ``WINDOW`` tokens meets. Windows with fewer than ``LITERALS`` literal tokens say too
+little and aren't used.
 
 A meeting aligns an item with a text. A chain takes each position of the item from one
 alignment: from any one alone, or as changes between them pay. Its ``coverage`` is the
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE, LITERALS = 8, 4, 4
+WINDOW, LITERALS = 8, 4
 COVERAGE = 0.6
 SMALL = 1_000_000
 #: Units that read <unit>, and number words that read <num>.
@@ -65,12 +65,14 @@ def canonical(raw: Column) -> Column:
     return F.substring(F.regexp_replace(out, f" (?:{UNITS.replace(' ', '|')})(?= |$)", " \u0001u"), 2, 1 << 30)
 
 
-def _window(tokens: Column, at: Column, size: Column) -> Column:
-    """The hash of a window, or null if it has too few literal tokens."""
-    said = F.concat_ws(" ", F.slice(tokens, at + 1, size))
-    marked = F.contains(said, F.lit("\u0001"))
-    literals = F.when(marked, size - F.length(said) + F.length(F.translate(said, "\u0001", ""))).otherwise(size)
-    return F.when((literals >= F.least(size, F.lit(LITERALS))) & (F.length(said) > 0), F.xxhash64(said))
+def _hash(tokens: Column, at: Column, size: Column) -> Column:
+    return F.xxhash64(F.slice(tokens, at + 1, size))
+
+
+def _says(tokens: Column, at: Column, size: Column) -> Column:
+    """Whether a window of an item has enough literal tokens. What meets it has the same."""
+    window = F.slice(tokens, at + 1, size)
+    return (F.size(F.filter(window, lambda x: ~x.startswith("\u0001"))) >= F.least(size, F.lit(LITERALS))) & (F.length(F.concat_ws("", window)) > 0)
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -79,7 +81,8 @@ def item_windows(items: DataFrame) -> DataFrame:
     words = items.where(F.length(raw) > 0).select("item_id", raw.alias("raw"), canonical(raw).alias("said")).distinct().select("item_id", F.split("raw", " ").alias("item_raw"), F.split("said", " ").alias("item_canon"))
     sized = words.withColumn("size", F.least(F.size("item_canon"), F.lit(WINDOW)))
     placed = sized.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("item_canon") - F.col("size"))))
-    return placed.withColumn("hash", _window(F.col("item_canon"), F.col("at"), F.col("size"))).where("hash is not null")
+    spot = F.col("item_canon"), F.col("at"), F.col("size")
+    return placed.where(_says(*spot)).withColumn("hash", _hash(*spot))
 
 
 def _value(raw: Column) -> Column:
@@ -122,17 +125,15 @@ def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     if n_windows > SMALL:
         texts = texts.dropDuplicates(["key"])
     met = None
-    for size in lengths:  # short items have windows of their own length, at every position
-        step = STRIDE if size == WINDOW else 1
-        starts = F.when(F.size("canon") >= size, F.sequence(F.lit(0), F.size("canon") - size, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        last = F.when(F.size("canon") >= size, F.array(F.size("canon") - size)).otherwise(F.array().cast("array<int>"))
+    for size in lengths:
+        starts = F.when(F.size("canon") >= size, F.sequence(F.lit(0), F.size("canon") - size)).otherwise(F.array().cast("array<int>"))
         # An outer generator: for another one Catalyst infers a filter that computes all words again.
-        placed = texts.select("key", "raw", "canon", F.explode_outer(F.concat(starts, last)).alias("p")).withColumn("hash", _window(F.col("canon"), F.col("p"), F.lit(size)))
+        placed = texts.select("key", "raw", "canon", F.explode_outer(starts).alias("p")).withColumn("hash", _hash(F.col("canon"), F.col("p"), F.lit(size)))
         own = windows.where(F.col("size") == size).drop("size")
         if n_windows <= SMALL:
-            here = placed.join(F.broadcast(own), "hash")
+            here = placed.where("p is not null").join(F.broadcast(own), "hash")
         else:
-            spots = placed.select("key", "p", "hash").where("hash is not null").join(own.select("hash", "item_id", "at"), "hash").select("key", "item_id", (F.col("p") - F.col("at")).alias("d")).distinct()
+            spots = placed.where("p is not null").select("key", "p", "hash").join(own.select("hash", "item_id", "at"), "hash").select("key", "item_id", (F.col("p") - F.col("at")).alias("d")).distinct()
             whole = own.select("item_id", "item_raw", "item_canon").distinct()
             here = spots.join(whole, "item_id").join(texts, "key").withColumn("p", F.col("d")).withColumn("at", F.lit(0))
         from_ = F.greatest(F.col("p") - F.col("at"), F.lit(0))

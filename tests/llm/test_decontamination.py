@@ -77,6 +77,17 @@ def test_letters_of_all_scripts_are_folded(spark):
     assert report(spark, [t for _, t in items], [(k, t.upper()) for k, t in items]) == [(k, k + 1, 0) for k in range(3)]
 
 
+@pytest.mark.parametrize("small", [D.SMALL, 0])
+def test_short_items_are_met_at_every_offset(spark, monkeypatch, small):
+    """Items of few windows, or with few that have enough literal words."""
+    monkeypatch.setattr(D, "SMALL", small)
+    said = "where does the tall keeper hide his little golden lamps".split()
+    items = [(n, " ".join(said[:n])) for n in (8, 9, 10)] + [(20, "7 7 7 7 7 7 7 7 which of them was not 7 7 7 7 7 7 7 7")]
+    texts = [" ".join([*[f"w{chr(97 + j)}" for j in range(at)], item, "and more words than that"]) for _, item in items for at in range(8)]
+    got = {r[:2] for r in report(spark, texts, items)}
+    assert {(8 * j + at, items[j][0]) for j in range(4) for at in range(8)} <= got
+
+
 def slow(texts, items):
     """Brute force: the share of an item's words that stand in a text in one run, for texts that hold the whole item or none."""
     words = lambda t: [w for w in re.sub(r"[^a-z ]", "", re.sub(r"\s", " ", (t or "").lower())).split(" ") if w]
