@@ -5,7 +5,8 @@ the same set form a class, and classes are joined:
 
 * ``TREES`` independent trees branch the classes by minwise tokens: a class goes to
   the child named by the least of its tokens under the hash of that tree and level,
-  so two sets stay together with the probability of their similarity per level.
+  so two sets stay together with the probability of their similarity per level. Each
+  tree and level has its own hash.
 * Every node of the first level compares its members with one of them (the least).
   Links that hold on the full sets join classes into components.
 * A node whose members are all in one component is done. A node with up to ``NODE``
@@ -14,8 +15,8 @@ the same set form a class, and classes are joined:
   from different components are compared, since links within a component can't
   change the result.
 
-A pair of similarity 0.8 is met at some level with a probability over 0.9999 in 20
-trees. Before sets are read, pairs are dropped whose sizes alone rule a link out, and
+A pair of similarity 0.8 is met with a probability over 0.9999 in 20 trees, even if its
+nodes stay large down to the last level. Before sets are read, pairs are dropped whose sizes alone rule a link out, and
 pairs that sketches show to be far below the threshold: a linked pair fails the bounds
 ``agreement`` sets with a probability of about 1e-6. No pair within a component is
 listed twice and a group of copies of any size is one class. To be verified, a text
@@ -40,7 +41,7 @@ from burrow.llm.components import components, cut
 from burrow.llm.kernels import ascii_lower, bounds, mix, shingles, slices, word_hashes, words
 
 TREES, LEVELS, NODE, BLOCK = 20, 4, 48, 512
-HASHES = 2 * TREES
+HASHES = TREES * LEVELS
 #: Bytes of the wide sketch of classes that share a node with another component.
 WIDE = 448
 #: Up to so many classes (8 bytes each) the list of those to read again is broadcast; beyond it, it is shuffled.
@@ -50,8 +51,8 @@ _ODD = np.random.Generator(np.random.PCG64(4712)).integers(1, 1 << 62, WIDE, dty
 
 
 def level_hash(tree: int, level: int) -> int:
-    """The hash by which a tree branches at a level (from 1): its own at first, then one of the second half."""
-    return tree if level == 1 else TREES + (tree + (0, 0, 0, 7, 13)[level]) % TREES
+    """The hash by which a tree branches at a level (from 1). No other tree or level has it."""
+    return tree + (level - 1) * TREES
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -95,6 +95,17 @@ def test_recall_of_the_trees():
     assert together == 400 and kept == 400
 
 
+def test_recall_of_all_levels():
+    """At the threshold, of pairs that are compared at the last level only, fewer than 1 in 10,000 stay together in no tree."""
+    paths = [[N.level_hash(t, level) for level in range(1, N.LEVELS + 1)] for t in range(N.TREES)]
+    assert len({h for path in paths for h in path}) == N.TREES * N.LEVELS <= N.HASHES
+    rng, missed = np.random.default_rng(6), 0
+    for _ in range(10):
+        agree = rng.random((100_000, N.HASHES)) < 0.8
+        missed += (~agree[:, paths].all(axis=2).any(axis=1)).sum()
+    assert missed < 100
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(200, 260)] + [(300, 301), (301, 302), (302, 300)] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(70)]
