@@ -8,57 +8,42 @@ neighbours is one side of a join that Spark can split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 60
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one is set only where it is unset in a local run."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "/tmp/burrow-checkpoints"
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint.
+from burrow.store import Tables
 
-    Shuffle files and checkpoints that nothing refers to any more go only when the
-    driver collects its garbage, so it is asked to: a job of many rounds would
-    otherwise keep the files of all of them.
-    """
-    shared_folder(df.sparkSession)
-    out = df.checkpoint()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+MOST_ROUNDS = 60
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node that is reachable) for every node in ``edges`` (a, b: orderable, not null)."""
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """node, root (the least node that is reachable) for every node in ``edges`` (a, b: orderable, not null).
+
+    The last round's table, which the result reads, stays in ``tables``.
+    """
+    tables = tables or Tables(edges.sparkSession)
+    down_of = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = tables.add(down_of(edges))
     before = _state(now)
     for _ in range(MOST_ROUNDS):
+        if before[0] == 0:
+            break
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(down.select("a", F.col("m").alias("b")))
-        now = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, now = now, tables.add(down_of(small.unionAll(down.select("a", F.col("m").alias("b")))))
+        tables.drop(last)
         after = _state(now)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"components didn't settle in {MOST_ROUNDS} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)

@@ -2,8 +2,10 @@
 
 A word is a run of bytes outside ``\\x20\\x09-\\x0D``. All hashes are 64-bit and
 depend only on the bytes, never on the process, so executors agree on them.
-Work goes in slices of at most ``SLICE`` bytes of text (or one document, if it
-alone is longer), which bounds the memory of a Python worker.
+
+Memory: rows go in slices of at most ``SLICE`` bytes of text, or one document if it
+alone is longer, and bytes are worked on in pieces of ``CHUNK`` of them, so that
+beside the text itself a document takes some bytes a word and not some words a byte.
 """
 
 from __future__ import annotations
@@ -14,12 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = CHUNK = 256 << 10
 _U = np.uint64
 _STEP, _UNSTEP = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _ROLL = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,13 +30,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _powers(step: np.uint64, n: int) -> np.ndarray:
+    p = np.full(n, step, np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+_kept = [_powers(step, CHUNK + 1) for step in (_STEP, _UNSTEP)]
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, step in enumerate((_STEP, _UNSTEP)):
-            p = np.full(n, step, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+    if n <= CHUNK + 1:
+        return _kept[0][:n], _kept[1][:n]
+    return _powers(_STEP, n), _powers(_UNSTEP, n)
 
 
 def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,12 +79,83 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, by differences of one prefix polynomial."""
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial of each byte range, by differences of one prefix polynomial."""
     up, down = _power(len(data) + 1)
     prefix = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts])
+    return (prefix[ends] - prefix[starts]) * down[starts]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range."""
+    return mix(_sums(data, starts, ends))
+
+
+def head_hashes(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n bytes from each start."""
+    total = np.zeros(len(starts), np.uint64)
+    for k in range(n):
+        total += _BYTE[data[starts + k]] * _kept[0][k]
+    return mix(total)
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, rows) of all words in order, from pieces of ``chunk`` bytes; ``fold``: of words in lower case.
+
+    A word that reaches the end of a piece is held back until its end is seen, so that
+    hashes don't depend on where pieces end.
+    """
+    held: tuple[np.uint64, int, int] | None = None  # polynomial, length, row
+    for at in range(0, len(data), chunk):
+        piece = data[at : at + chunk]
+        piece = ascii_lower(piece) if fold else piece
+        inner = offsets[np.searchsorted(offsets, at, side="right") : np.searchsorted(offsets, at + len(piece), side="left")] - at
+        starts, ends, _ = words(piece, np.r_[0, inner, len(piece)])
+        sums, sizes = _sums(piece, starts, ends), ends - starts
+        rows = np.searchsorted(offsets, starts + at, side="right") - 1
+        if held is not None:
+            if len(starts) and starts[0] == 0 and rows[0] == held[2]:
+                sums[0] = (int(held[0]) + pow(int(_STEP), held[1], 1 << 64) * int(sums[0])) & (1 << 64) - 1
+                sizes[0] += held[1]
+            else:
+                sums, sizes, rows = np.r_[held[0], sums], np.r_[held[1], sizes], np.r_[held[2], rows]
+            held = None
+        if len(ends) and ends[-1] == len(piece) and at + chunk < len(data):
+            held = sums[-1], int(sizes[-1]), int(rows[-1])
+            sums, rows = sums[:-1], rows[:-1]
+        yield mix(sums), rows
+
+
+def all_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rows of all words."""
+    found = list(hashed_words(data, offsets, fold))
+    if len(found) == 1:
+        return found[0]
+    return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(r for _, r in found)])
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, stops: np.ndarray, solid: np.ndarray, limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, rows, starts within the rows) of texts; one over ``limit`` bytes comes in pieces.
+
+    A piece ends after the last of the ``stops`` (a table of bytes) in its reach, else
+    after the last byte that isn't ``solid``, else at ``limit``, so a text is cut alike
+    wherever it stands.
+    """
+    n = len(offsets) - 1
+    if n != 1 or len(data) <= limit:
+        yield data, offsets, np.arange(n), np.zeros(n, np.int64)
+        return
+    at = 0
+    while at < len(data):
+        part = data[at : at + limit]
+        if at + limit < len(data):
+            for ends in (stops[part], ~solid[part]):
+                if ends.any():
+                    part = part[: int(np.flatnonzero(ends)[-1]) + 1]
+                    break
+        yield part, np.array([0, len(part)]), np.zeros(1, np.int64), np.array([at])
+        at += len(part)
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,10 +17,14 @@ the same set form a class, and classes are joined:
 
 A pair of similarity 0.8 is met with a probability over 0.9999 in 20 trees, even if its
 nodes stay large down to the last level. Before sets are read, pairs are dropped whose sizes alone rule a link out, and
-pairs that sketches show to be far below the threshold: a linked pair fails the bounds
-``agreement`` sets with a probability of about 1e-6. No pair within a component is
-listed twice and a group of copies of any size is one class. To be verified, a text
-goes once to each block of a node in which it has a pair, not once to each pair.
+pairs that sketches show to be far below the threshold: a linked pair fails the bound
+that ``agreement`` sets with a probability of at most one in a million. No pair within a
+component is listed twice and a group of copies of any size is one class. To be verified, a
+text goes once to each block of pairs that has one of its own, not once to each pair, and
+blocks hold about ``PAIRS_A_KEY`` pairs.
+
+Memory: a worker holds the words of one text at a time (some 50 bytes a word), and the
+sets of a block's texts when it verifies pairs.
 
 Nulls: a null text is empty. An empty set is linked with nothing. Rows with a null
 id are not compared: they have a null component and are kept. Rows that share an id
@@ -31,21 +35,25 @@ the id and the text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burrow.llm.components import components, cut
-from burrow.llm.kernels import ascii_lower, bounds, mix, shingles, slices, word_hashes, words
+from burrow.llm.components import components
+from burrow.llm.kernels import all_words, bounds, mix, shingles, slices
+from burrow.store import Tables
 
 TREES, LEVELS, NODE, BLOCK = 20, 4, 48, 512
 HASHES = TREES * LEVELS
 #: Bytes of the wide sketch of classes that share a node with another component.
 WIDE = 448
 #: Up to so many classes (8 bytes each) the list of those to read again is broadcast; beyond it, it is shuffled.
-SMALL = 2_000_000
+SMALL = 500_000
+#: Pairs that are verified in one group, about; and how many linked pairs a sketch may lose.
+PAIRS_A_KEY, LOST = 2048, 1e-6
 _SEEDS = np.random.Generator(np.random.PCG64(4711)).integers(1, 1 << 63, WIDE, dtype=np.uint64)
 _ODD = np.random.Generator(np.random.PCG64(4712)).integers(1, 1 << 62, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -57,9 +65,7 @@ def level_hash(tree: int, level: int) -> int:
 
 def sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all rows, sorted within each row, and where each row's begin."""
-    low = ascii_lower(data)
-    starts, ends, rows = words(low, offsets)
-    tokens, at = shingles(word_hashes(low, starts, ends), rows, size)
+    tokens, at = shingles(*all_words(data, offsets, fold=True), size)
     cut, n = bounds(at, len(offsets) - 1), len(offsets) - 1
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         tokens[a:b].sort()
@@ -87,9 +93,16 @@ def _least(tokens: np.ndarray, cut: np.ndarray, hashes: int = HASHES, bits: int
 
 
 def agreement(n: int, num: int, den: int, bits: int = 32) -> int:
-    """How many of n sketched values of a linked pair agree, but for about one pair in a million: the mean less 4.8 deviations."""
+    """How many of n sketched values of a linked pair agree at least, but for ``LOST`` of the pairs: the exact binomial tail."""
     p = num / den + (1 - num / den) / 2**bits
-    return max(0, int(n * p - 4.8 * (n * p * (1 - p)) ** 0.5))
+    if p >= 1:
+        return n
+    below = 0.0
+    for k in range(n + 1):
+        below += exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p))
+        if below > LOST:
+            return k
+    return n
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -239,51 +252,85 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, num: int = 80, den: int = 100) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least id reachable by links) and kept."""
     rows = _prepared(docs, id_col, text_col)
-    sketched = cut(sketches(rows, size))
+    kept, held = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    sketched = kept.add(sketches(rows, size))
     usable = sketched.where("doc_id is not null and n > 0")
     # A class is named by its least document.
-    classes = cut(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least")))
+    found = usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"))
+    classes = kept.add(found)
+    nodes, star = _first_level(classes, held, num, den)
+    first = held.add(_verified(star, _texts(rows, _sides(star), size), size, num, den).unionAll(_of_one_id(usable, classes)))
+    roots = components(first, held)
+    compare = _mixed_nodes(classes, nodes, roots, held)
+    held.drop(nodes, star, first)
+    met = classes.select("rep", "set_id", "n").join(compare.select("set_id").distinct(), "set_id")
+    wide = held.add(met.join(_wide(rows, held.add(met.select("rep", "set_id")), size), "set_id"))
+    found = _compared(compare.join(wide, "set_id"), num, den).groupBy("set_a", "set_b").agg(F.min(F.struct("key", "a", "b")).alias("p"))
+    pairs = held.add(_split(held.add(found.select("p.key", "p.a", "set_a", "p.b", "set_b")), both=True))
+    second = _verified(pairs, _texts(rows, _sides(pairs), size), size, num, den)
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(second)
+    joined = kept.add(components(links, held))
+    held.clear()
+
+    named = sketched.select("doc_id", "n", "set_id").join(classes.select("set_id", "rep"), "set_id", "left")
+    named = named.join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    whole = F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), whole).alias("component_id")
+    out = named.select("doc_id", F.col("n").alias("n_shingles"), component)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _of_one_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id."""
     members = usable.select("doc_id", "set_id").join(classes.select("set_id", "rep"), "set_id").select("doc_id", "rep")
-    shared_ids = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    same_id = members.join(shared_ids.select("doc_id", F.col("a").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
+    shared = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).where("b <> high")
+    return members.join(shared.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
+
 
-    # First level: each member against the least of its node. Nodes of one member go here.
-    nodes = classes.select("rep", "set_id", F.posexplode(F.slice("least", 1, TREES)).alias("tree", "token")).withColumn("node", F.xxhash64("tree", "token")).drop("token")
+def _first_level(classes: DataFrame, held: Tables, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(node, tree, set_id) of nodes with two members or more, and the pairs of members with the least of their node."""
+    least = F.posexplode(F.slice("least", 1, TREES)).alias("tree", "token")
+    nodes = classes.select("rep", "set_id", least).withColumn("node", F.xxhash64("tree", "token")).drop("token")
     centre = nodes.groupBy("node").agg(F.min(F.struct("rep", "set_id")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    nodes = cut(nodes.join(centre.select("node", F.col("c.set_id").alias("centre")), "node").select("node", "tree", "set_id", "centre"))
+    nodes = nodes.join(centre.select("node", F.col("c.set_id").alias("centre")), "node")
+    nodes = held.add(nodes.select("node", "tree", "set_id", "centre"))
     star = nodes.where("set_id <> centre").select(F.col("centre").alias("set_a"), F.col("set_id").alias("set_b")).distinct()
     for side in ("a", "b"):
-        star = star.join(classes.select(F.col("set_id").alias(f"set_{side}"), F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("least").alias(f"least_{side}")), f"set_{side}")
+        told = {"set_id": f"set_{side}", "rep": side, "n": f"n_{side}", "least": f"least_{side}"}
+        star = star.join(classes.select(*(F.col(c).alias(x) for c, x in told.items())), f"set_{side}")
     fits = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    star = cut(star.where(fits & (_alike(F.col("least_a"), F.col("least_b")) >= agreement(HASHES, num, den))).select("a", "set_a", "b", "set_b"))
-    sizes = star.groupBy("set_a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    keyed = star.join(sizes, "set_a").select(F.xxhash64("set_a", F.pmod(F.xxhash64("set_b"), "blocks")).alias("key"), "a", "set_a", "b", "set_b")
-    first = cut(_verified(keyed, _texts(rows, _sides(star), size), size, num, den).unionAll(same_id))
-    roots = components(first)
-
-    # Then nodes that hold several components, level by level.
-    known = classes.select("rep", "set_id").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("root", "rep").alias("root"))
-    rest = nodes.select("node", "tree", "set_id").join(known, "set_id")
-    compare = None
+    near = _alike(F.col("least_a"), F.col("least_b")) >= agreement(HASHES, num, den)
+    star = held.add(star.where(fits & near).select(F.xxhash64("set_a").alias("key"), "a", "set_a", "b", "set_b"))
+    return nodes, held.add(_split(star, both=False))
+
+
+def _split(pairs: DataFrame, both: bool) -> DataFrame:
+    """The pairs with a key for each block of about ``PAIRS_A_KEY`` of them, by hashes of both sides or of the second one."""
+    sizes = pairs.groupBy("key").agg(F.ceil(F.count("*") / PAIRS_A_KEY).alias("need")).where("need > 1")
+    parts = F.ceil(F.sqrt("need")) if both else F.col("need")
+    sides = ["set_a", "set_b"] if both else ["set_b"]
+    own = F.xxhash64("key", *(F.pmod(F.xxhash64(side), "parts") for side in sides))
+    told = pairs.join(sizes.select("key", parts.alias("parts")), "key", "left")
+    return told.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(own).alias("key"), "a", "set_a", "b", "set_b")
+
+
+def _mixed_nodes(classes: DataFrame, nodes: DataFrame, roots: DataFrame, held: Tables) -> DataFrame:
+    """(node, tree, size, set_id, root) of the nodes to compare: those that hold several components, level by level."""
+    known = classes.select("rep", "set_id").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("set_id", F.coalesce("root", "rep").alias("root"))
+    rest, compare = nodes.select("node", "tree", "set_id").join(known, "set_id"), None
     for level in range(1, LEVELS + 1):
         if level > 1:
             branch = F.array(*(F.get("least", F.lit(level_hash(t, level))) for t in range(TREES)))
-            rest = rest.join(classes.select("set_id", "least"), "set_id").withColumn("node", F.xxhash64("node", F.get(branch, F.col("tree")))).select("node", "tree", "set_id", "root")
-        held = rest.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("node", "size")
-        mixed = cut(rest.join(held, "node").select("node", "tree", "size", "set_id", "root"))
+            rest = rest.join(classes.select("set_id", "least"), "set_id")
+            rest = rest.withColumn("node", F.xxhash64("node", F.get(branch, F.col("tree")))).select("node", "tree", "set_id", "root")
+        several = rest.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+        several = several.where("low <> high").select("node", "size")
+        mixed = held.add(rest.join(several, "node").select("node", "tree", "size", "set_id", "root"))
         done = mixed if level == LEVELS else mixed.where(F.col("size") <= NODE)
         compare = done if compare is None else compare.unionAll(done)
         rest = mixed.where(F.col("size") > NODE).drop("size")
-    met = classes.select("rep", "set_id", "n").join(compare.select("set_id").distinct(), "set_id")
-    wide = cut(met.join(_wide(rows, cut(met.select("rep", "set_id")), size), "set_id"))
-    pairs = _compared(compare.join(wide, "set_id"), num, den).groupBy("set_a", "set_b").agg(F.min(F.struct("key", "a", "b")).alias("p"))
-    pairs = cut(pairs.select("p.key", "p.a", "set_a", "p.b", "set_b"))
-    second = _verified(pairs, _texts(rows, _sides(pairs), size), size, num, den)
-    joined = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(second))
-
-    named = sketched.select("doc_id", "n", "set_id").join(classes.select("set_id", "rep"), "set_id", "left").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return compare
 
 
 def _sides(pairs: DataFrame) -> DataFrame:

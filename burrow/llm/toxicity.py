@@ -6,17 +6,22 @@ emission is the sum of hashed weights of the token, of its beginnings of some
 lengths, and of its two neighbours. Document labels become token labels first: in a
 toxic document, tokens that are, or begin with, something whose document counts
 separate toxic from clean documents (a likelihood ratio over ``SEPARATES``, where
-near copies count once together) are toxic; every other token is clean. The field is fitted to these
-by its conditional likelihood on a bounded sample of labelled rows.
-
-Scoring runs forward-backward over all chains of every whole text. A document's
+near copies count once together) are toxic; every other token is clean. The field is
+fitted to these by its conditional likelihood on a bounded sample of labelled documents:
+at most ``sample`` ids, one text for each, and of these the first with ``MOST_TOKENS``
+tokens in all.
+
+Scoring runs forward-backward over all chains of every whole text. A text over 256 KB
+goes in pieces that end at a sentence's end, so a worker's memory is bounded whatever a
+text's length; a sentence longer than a piece has a chain end there too. A document's
 score is a calibrated function of its largest marginal and the sum of its
 marginals; spans are runs of tokens with a marginal of a half or more (code points,
 end exclusive).
 
 Nulls: a null text is empty, and an empty text has the score of a text without any
 toxic token; labels with a null id or label aren't used; without usable labels the
-score is 0 everywhere. A null id is not held out. Repeated documents get equal results.
+score is 0 everywhere. A null id is not held out. Equal texts get equal results; of
+rows that share a labelled id the greatest text is used.
 """
 
 from __future__ import annotations
@@ -29,17 +34,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burrow.llm.kernels import ascii_lower, mix, shingles, slices, word_hashes
+from burrow.llm.kernels import ascii_lower, head_hashes, mix, pieces, shingles, slices, word_hashes
+from burrow.store import Tables
 
 BITS = 18
 CHAIN = 256
 SAMPLE = 2400
+#: Tokens of all sampled documents together: 16 bytes each on the driver, and some 150 while fitting.
+MOST_TOKENS = 2_000_000
 SEPARATES = 24.0
 PREDICT_AT = 0.3
 #: Bytes of a token's beginnings that are features; a token must be longer. Bucket 0 stands for none and keeps weight 0.
 BEGINNINGS = (4, 5, 6)
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_SOLID = _WORD.copy()
+_SOLID[65:91] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?\n")] = True
 
@@ -69,11 +79,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     buckets[:, 0] = np.maximum(word_hashes(low, starts, ends) >> shift, 1)
     for k, n in enumerate(BEGINNINGS, 1):
         long = np.flatnonzero(ends - starts > n)
-        buckets[long, k] = np.maximum(mix(word_hashes(low, starts[long], starts[long] + n) + np.uint64(n)) >> shift, 1)
+        buckets[long, k] = np.maximum(mix(head_hashes(low, starts[long], n) + np.uint64(n)) >> shift, 1)
     if not len(starts):
         return Tokens(starts, ends, rows, buckets, np.zeros(0, np.int64))
-    stops = np.r_[0, np.cumsum(_STOP[low])]
-    heads = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])])
+    stops = np.flatnonzero(_STOP[low])
+    parted = np.searchsorted(stops, starts[1:]) > np.searchsorted(stops, ends[:-1])
+    heads = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | parted])
     sizes = np.diff(np.r_[heads, len(starts)])
     if (sizes > CHAIN).any():
         heads = np.concatenate([np.arange(h, h + n, CHAIN) for h, n in zip(heads, sizes, strict=True)])
@@ -141,11 +152,25 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def summary(logits: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Per row: 1, the largest marginal's logit, the log of one plus the marginals' sum."""
-    top = np.full(n, -12.0)
+#: What a text without tokens has: the least logit, and no sum.
+_NONE = -12.0
+
+
+def gathered(logits: np.ndarray, rows: np.ndarray, top: np.ndarray, total: np.ndarray) -> None:
+    """Adds tokens to the largest logit and the sum of marginals of each row."""
     np.maximum.at(top, rows, np.clip(logits, -12, 12))
-    return np.stack([np.ones(n), top, np.log1p(np.bincount(rows, _sigmoid(logits), n))], axis=1)
+    total += np.bincount(rows, _sigmoid(logits), len(total))
+
+
+def told(top: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Per row: 1, the largest marginal's logit, the log of one plus the marginals' sum."""
+    return np.stack([np.ones(len(top)), top, np.log1p(total)], axis=1)
+
+
+def summary(logits: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    top, total = np.full(n, _NONE), np.zeros(n)
+    gathered(logits, rows, top, total)
+    return told(top, total)
 
 
 def copy_weights(docs: list[np.ndarray], hashes: int = 64) -> np.ndarray:
@@ -231,8 +256,8 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight:
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fits on at most ``sample`` labelled documents, half of them toxic if there are as many."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST_TOKENS) -> Field:
+    """Fits on at most ``sample`` labelled documents with ``most`` tokens, half of them toxic if there are as many."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {int(r["toxic"] == 1): r["n"] for r in known.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     pick = lambda y: known.where((F.col("toxic") == 1) == F.lit(bool(y))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
@@ -244,13 +269,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
                 t = tokens(data, offsets)
                 cut, heads = np.searchsorted(t.rows, np.arange(end - first + 1)), t.chains
                 split = np.searchsorted(heads, cut)
-                got = [(t.buckets[a:b].tobytes(), (heads[x:y] - a).astype(np.int32).tobytes()) for a, b, x, y in zip(cut[:-1], cut[1:], split[:-1], split[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "toxic", "buckets", "chains"])
+                spans = list(zip(cut[:-1], cut[1:], split[:-1], split[1:], strict=True))
+                buckets = pa.array([t.buckets[a:b].tobytes() for a, b, _, _ in spans], pa.binary())
+                chains = pa.array([(heads[x:y] - a).astype(np.int32).tobytes() for a, _, x, y in spans], pa.binary())
+                own = [batch.column(k).slice(first, end - first) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, buckets, chains], ["doc_id", "toxic", "buckets", "chains"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    got = joined.mapInArrow(run, "doc_id long, toxic int, buckets binary, chains binary").toArrow().sort_by([("doc_id", "ascending"), ("buckets", "ascending")])
-    rows = [(np.frombuffer(b, np.int32).reshape(-1, 1 + len(BEGINNINGS)), np.frombuffer(c, np.int32).astype(np.int64)) for b, c in zip(got["buckets"].to_pylist(), got["chains"].to_pylist(), strict=True)]
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    held = Tables(docs.sparkSession)
+    cut_up = held.add(joined.mapInArrow(run, "doc_id long, toxic int, buckets binary, chains binary"))
+    each = 4 * (1 + len(BEGINNINGS))
+    sizes = cut_up.select("doc_id", (F.length("buckets") / each).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # `sample` rows
+    fits = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), most, side="right"))
+    if fits < len(sizes):
+        cut_up = cut_up.where(F.col("doc_id").isin([r["doc_id"] for r in sizes[:fits]]))
+    got = cut_up.toArrow().sort_by("doc_id")
+    held.clear()
+    said = zip(got["buckets"].to_pylist(), got["chains"].to_pylist(), strict=True)
+    rows = [(np.frombuffer(b, np.int32).reshape(-1, 1 + len(BEGINNINGS)), np.frombuffer(c, np.int32).astype(np.int64)) for b, c in said]
     toxic = (got["toxic"].to_numpy() == 1).astype(np.int64)
     have = np.bincount(toxic, minlength=2)
     weight = np.array([totals.get(int(y), 1) / max(have[y], 1) for y in toxic])
@@ -260,6 +297,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
 SCORES = "doc_id long, score double, spans array<struct<start:long,end:long>>"
 
 
+def _spans(data: np.ndarray, offsets: np.ndarray, t: Tokens, logits: np.ndarray, before: int, spans: list[list[dict]]) -> None:
+    """Appends the runs of toxic tokens of each row, in code points after ``before``."""
+    hot = np.flatnonzero(logits >= 0)
+    if not len(hot):
+        return
+    inner = np.flatnonzero((data & 0xC0) == 0x80)
+    point = lambda at: int(at - np.searchsorted(inner, at))
+    for run in np.split(hot, np.flatnonzero((np.diff(hot) > 1) | (t.rows[hot[1:]] != t.rows[hot[:-1]])) + 1):
+        row = int(t.rows[run[0]])
+        zero = point(offsets[row]) - before
+        spans[row].append({"start": point(t.starts[run[0]]) - zero, "end": point(t.ends[run[-1]]) - zero})
+
+
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and toxic spans of every document; the field has a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -269,16 +319,16 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         model = shared.value
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(1)):
-                t, n = tokens(data, offsets), end - first
-                logits, _ = model.marginals(t)
-                scores = _sigmoid(summary(logits, t.rows, n) @ model.calibration)
-                spans: list[list[dict]] = [[] for _ in range(n)]
-                hot = np.flatnonzero(logits >= 0)
-                if len(hot):
-                    points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-                    for run in np.split(hot, np.flatnonzero((np.diff(hot) > 1) | (t.rows[hot[1:]] != t.rows[hot[:-1]])) + 1):
-                        row = int(t.rows[run[0]])
-                        spans[row].append({"start": int(points[t.starts[run[0]]] - points[offsets[row]]), "end": int(points[t.ends[run[-1]]] - points[offsets[row]])})
+                n = end - first
+                top, total, spans = np.full(n, _NONE), np.zeros(n), [[] for _ in range(n)]
+                points = 0  # code points of the pieces before this one; only a text that is alone has several
+                for part, cuts, rows, _ in pieces(data, offsets, _STOP, _SOLID):
+                    t = tokens(part, cuts)
+                    logits, _ = model.marginals(t)
+                    gathered(logits, rows[t.rows], top, total)
+                    _spans(part, cuts, t, logits, points, spans)
+                    points += len(part) - np.count_nonzero((part & 0xC0) == 0x80) if n == 1 else 0
+                scores = np.round(_sigmoid(told(top, total) @ model.calibration), 6)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(scores), pa.array(spans, pa.list_(kind))], ["doc_id", "score", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SCORES)
