@@ -1,24 +1,29 @@
 """Line dedup by a log-template tree, in DataFrame expressions only.
 
-A line is parsed to a fixed depth: its number of tokens, then its leading tokens.
-Tokens with a digit are variable fields and read ``<*>``. Below, a leaf generalises:
-a line of ``LONG`` tokens or more has two templates, one with its second half
-variable and one with its first half variable after the leading tokens; a shorter
-line has one, with all its tokens. Each template is a path of the tree.
-
-A template recurs if at least ``min_texts`` different texts hold it, not counting
-texts that consist mostly of recurring lines: those are copies of each other, whose
-lines recur because the document does, and it is the near-duplicate stage's part to
-choose among them. Lines of a recurring template are dropped from every document.
-
-Texts are counted by digest, so a group of exact copies counts once. A template that
-a third of all texts hold is counted by partial aggregates and met in joins whose
-other side has one row for it, which Spark splits.
+A line is parsed to a fixed depth: its number of tokens, then its ``LEAD`` leading
+tokens. Tokens with a digit are variable fields and read ``<*>``. Below that a leaf
+generalises: the rest of a line is cut into segments of about equal length, three for a
+line of under ``LONG`` tokens and four for a longer one, and each template of the leaf
+keeps two of them and has ``<*>`` in place of the others. So lines of one leaf share a
+template if their differences lie in one segment of three, or in two of four, wherever
+these are. Lines of under ``EXACT`` tokens have one template with all their tokens.
+
+A template recurs if different texts hold it: ``min_texts`` of them, or two for a
+template of ``PASSAGE`` tokens or more. A text counts if at most ``copy_share`` of its
+other words (those outside the template's lines) lie in lines that other texts have too:
+in near copies of a document all lines recur because the document does, and the
+near-duplicate stage chooses among those. With ``copy_share`` None every text counts.
+Lines of a recurring template are dropped from every document.
+
+Texts are told apart by a 64-bit hash, so a group of exact copies counts once. Lines are
+parsed once, to a table. A template that a third of all texts hold is counted by partial
+aggregates, and met in joins whose other side has one row for it, which Spark splits.
 
 Nulls: a null text is left as it is and counts for nothing; nulls elsewhere are
 passed through. Blank lines and lines of fewer than ``SHORT`` tokens are never
 dropped. Repeated rows are treated alike. Other columns are passed through, whatever
-their names, but ``n_chars`` is set anew if the text changed.
+their names, but ``n_chars`` is set anew if the text changed. A very long text costs time
+in proportion to its length, and its lines must fit a task.
 """
 
 from __future__ import annotations
@@ -26,88 +31,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burrow.llm.components import cut
+from burrow.store import Tables
 
-SHORT, LONG, LEAD = 3, 16, 4
-MIN_TEXTS = 3
+SHORT, EXACT, LONG, LEAD = 3, 6, 16, 2
+MIN_TEXTS, PASSAGE = 3, 50
 COPY_SHARE = 0.5
 _WORD = r"[^\x20\x09-\x0D]+"
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def _key(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("binary")))
+    return F.xxhash64(text)
+
+
+def _templates(t: Column) -> Column:
+    """The templates of a line's tokens."""
+    n = F.size(t)
+    rest = n - LEAD
+
+    def leaf(parts: int) -> Column:
+        at = lambda k: F.floor(rest * k / parts).cast("int")
+        said = [F.xxhash64(F.slice(t, LEAD + 1 + at(k), at(k + 1) - at(k))) for k in range(parts)]
+        head = [F.lit(parts), n, *(F.get(t, F.lit(k)) for k in range(LEAD))]
+        return F.array(*(F.xxhash64(*head, F.lit(i), said[i], F.lit(j), said[j]) for j in range(parts) for i in range(j)))
 
+    none = F.array().cast("array<bigint>")
+    return F.when(n < SHORT, none).when(n < EXACT, F.array(F.xxhash64(n, t))).when(n < LONG, leaf(3)).otherwise(leaf(4))
 
-def line_templates(docs: DataFrame) -> DataFrame:
-    """key and words (of the text), line (position from 0), n (tokens), template: one row for each template of each line.
 
-    Outer generators and one filter at the end keep Catalyst from computing the
-    tokens again for filters that it would infer and push below them.
-    """
+def parsed_lines(docs: DataFrame) -> DataFrame:
+    """key and words (of the text), line (position from 0), n (tokens), templates: one row for each line that has some."""
     text = F.col("text").cast("string")
-    keyed = docs.where(text.isNotNull()).select(_key(text).alias("key"), F.regexp_count(text, F.lit(_WORD)).alias("words"), text.alias("text"))
-    lines = keyed.select("key", "words", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "said"))  # beside a generator, an expression runs for each of its rows
+    words = F.regexp_count(text, F.lit(_WORD)).alias("words")
+    keyed = docs.where(text.isNotNull()).select(_key(text).alias("key"), words, text.alias("text"))
+    # Outer generators keep Catalyst from computing the lines again for a filter that it would infer.
+    lines = keyed.select("key", "words", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "said"))
     masked = F.when(F.col("said").rlike("[0-9]"), F.regexp_replace("said", _FIELD, "<*>")).otherwise(F.col("said"))
-    tokens = lines.select("key", "words", "line", F.array_remove(F.split(F.translate(masked, "\t\x0b\x0c\r", "    "), " "), "").alias("t"))
-    half = F.floor(F.size("t") / 2).cast("int")
-    said = lambda kind, *parts: F.xxhash64(F.lit(kind), F.size("t"), *(F.concat_ws(" ", p) for p in parts))
-    lead, none = F.slice("t", 1, LEAD), F.lit(None).cast("long")
-    one = F.when(F.size("t") < SHORT, none).when(F.size("t") < LONG, said(0, F.col("t"))).otherwise(said(1, lead, F.slice("t", F.lit(1), half)))
-    two = F.when(F.size("t") >= LONG, said(2, lead, F.slice("t", half + 1, F.size("t"))))
-    return tokens.select("key", "words", "line", F.size("t").alias("n"), F.explode_outer(F.array(one, two)).alias("template")).where("template is not null")
-
-
-def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, copy_share: float = COPY_SHARE) -> DataFrame:
-    """key and lines (positions) of each text that loses lines."""
-    seen = line_templates(docs)
-    counted = seen.select("key", "template").distinct().groupBy("template").count()
-    recurring = cut(counted.where(F.col("count") >= min_texts).select("template"))
-    held = cut(seen.join(recurring, "template").distinct())
-    shares = held.select("key", "words", "line", "n").distinct().groupBy("key", "words").agg(F.sum("n").alias("recurs"))
-    whole = shares.where(F.col("recurs") <= copy_share * F.col("words")).select("key")
-    proper = held.select("key", "template").distinct().join(whole, "key").groupBy("template").count().where(F.col("count") >= min_texts).select("template")
-    return held.join(proper, "template").groupBy("key").agg(F.collect_set("line").alias("lines"))
+    tokens = F.array_remove(F.split(F.translate(masked, "\t\x0b\x0c\r", "    "), " "), "")
+    found = lines.select("key", "words", "line", F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), _templates(t).alias("templates")))[0].alias("x"))
+    return found.select("key", "words", "line", "x.n", "x.templates").where(F.size("templates") > 0)
+
+
+def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, copy_share: float | None = COPY_SHARE) -> DataFrame:
+    """key and lines (sorted positions) of each text that loses lines."""
+    tables, kept = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    seen = tables.add(parsed_lines(docs)).select("key", "words", "line", "n", F.explode("templates").alias("template"))
+    shared = seen.groupBy("template").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("template")
+    held = tables.add(seen.join(shared, "template"))  # lines that another text has too
+    own = held.groupBy("template", "key").agg(F.max("words").alias("words"), F.sum("n").alias("own"), F.max("n").alias("n"))
+    if copy_share is not None:
+        once = held.select("key", "line", "n").distinct().groupBy("key").agg(F.sum("n").alias("recurs"))
+        rest = F.col("words") - F.col("own")
+        own = own.join(once, "key").where((rest > 0) & (F.col("recurs") - F.col("own") <= copy_share * rest))
+    least = F.when(F.max("n") >= PASSAGE, min(2, min_texts)).otherwise(min_texts)
+    recurring = own.groupBy("template").agg(F.count("*").alias("texts"), least.alias("least")).where("texts >= least").select("template")
+    found = held.join(recurring, "template").groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    out = kept.add(found)
+    tables.clear()
+    return out
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines without those at the sorted positions ``gone``: the runs between them, so the time is linear."""
+    before = lambda j: F.coalesce(F.get(gone, j - 1), F.lit(-1))
+    run = lambda j: F.slice(lines, before(j) + 2, F.coalesce(F.get(gone, j), F.size(lines)) - before(j) - 1)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), run))
 
 
 def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """The documents with _burrow_kept (what is left of the text), _burrow_n_lines and _burrow_n_dropped."""
-    text = F.col("text").cast("string")
-    lines = F.split(text, "\n", -1)
-    gone = drops.select(F.col("key").alias("_burrow_key"), F.col("lines").alias("_burrow_lines"))
-    joined = docs.withColumn("_burrow_key", _key(text)).join(gone, "_burrow_key", "left")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_burrow_lines", i)), "\n")
-    kept = F.when(F.col("_burrow_lines").isNull(), text).otherwise(left)
-    return joined.withColumns({"_burrow_kept": kept, "_burrow_n_lines": F.size(lines).cast("long"), "_burrow_n_dropped": F.coalesce(F.size("_burrow_lines"), F.lit(0)).cast("long")}).drop("_burrow_key", "_burrow_lines")
+    """row (the columns of a document), left (what is left of its text), n_lines and n_dropped."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.col("row.text").cast("string")
+    joined = rows.withColumn("key", _key(text)).join(drops.select("key", F.col("lines").alias("gone")), "key", "left")
+    split = F.transform(F.array(F.split(text, "\n", -1)), lambda x: F.struct(F.size(x).alias("n"), F.array_join(_without(x, F.col("gone")), "\n").alias("left")))[0]
+    left = F.when(F.col("gone").isNotNull(), split["left"]).otherwise(text)
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
+    return joined.select("row", left.alias("left"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, copy_share: float | None = COPY_SHARE) -> DataFrame:
     """The documents, all their columns, without recurring lines; a text of which nothing is left goes."""
-    cut_docs = without_lines(docs, dropped_lines(docs)).where((F.col("_burrow_n_dropped") == 0) | F.col("_burrow_kept").rlike(r"[^\x20\x09-\x0D]"))
-    changed = F.col("_burrow_n_dropped") > 0
-    out = [F.when(changed, F.col("_burrow_kept")).otherwise(F.col(c)).alias(c) if c == "text" else F.when(changed, F.length("_burrow_kept").cast(k)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, k in docs.dtypes]
-    return cut_docs.select(*out)
+    changed = F.col("n_dropped") > 0
+    cut_docs = without_lines(docs, dropped_lines(docs, min_texts, copy_share)).where(~changed | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+
+    def column(name: str, kind: str) -> Column:
+        own = F.col(f"row.`{name}`")
+        new = {"text": F.col("left").cast(kind), "n_chars": F.length("left").cast(kind)}
+        return (F.when(changed, new[name]).otherwise(own) if name in new else own).alias(name)
+
+    return cut_docs.select(*(column(c, k) for c, k in docs.dtypes))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_dropped, and the digest of what is left of the text."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = F.sha2(F.coalesce("_burrow_kept", F.lit("")).cast("binary"), 256)
-    return without_lines(picked, dropped_lines(picked)).select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("_burrow_n_lines")).cast("long").alias("n_lines"), F.col("_burrow_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+    kept = F.sha2(F.coalesce("left", F.lit("")).cast("binary"), 256)
+    return without_lines(picked, dropped_lines(picked)).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
 def sql(min_texts: int = MIN_TEXTS, copy_share: float = COPY_SHARE) -> str:
+    """The same in DuckDB; templates are texts there."""
     space, field = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+
+    def leaf(parts: int) -> str:
+        cut = lambda k: f"{LEAD} + CAST(floor((n - {LEAD}) * {k} / {parts}) AS INTEGER)"
+        said = [f"array_to_string(t[{cut(k)} + 1:{cut(k + 1)}], ' ')" for k in range(parts)]
+        pairs = (f"concat_ws('|', '{parts}', n, array_to_string(t[1:{LEAD}], ' '), '{i}', {said[i]}, '{j}', {said[j]})" for j in range(parts) for i in range(j))
+        return f"[{', '.join(pairs)}]"
+
     return rf"""
 WITH u AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
-l AS (SELECT text, unnest(range(0, len(s))) AS line, unnest(s) AS said FROM (SELECT text, string_split(text, chr(10)) AS s FROM u)),
-t AS (SELECT text, line, list_filter(regexp_split_to_array(regexp_replace(said, '{field}', '<*>', 'g'), '{space}'), lambda x: x <> '') AS t FROM l),
-n AS MATERIALIZED (SELECT text, line, len(t) AS n, t, len(t) // 2 AS half FROM t WHERE len(t) >= {SHORT}),
-seen AS MATERIALIZED (SELECT text, line, n, unnest(CASE WHEN n < {LONG} THEN [concat('0 ', n, ' ', array_to_string(t, ' '))]
-  ELSE [concat('1 ', n, ' ', array_to_string(t[1:{LEAD}], ' '), '|', array_to_string(t[1:half], ' ')), concat('2 ', n, ' ', array_to_string(t[1:{LEAD}], ' '), '|', array_to_string(t[half + 1:], ' '))] END) AS template FROM n),
-held AS MATERIALIZED (SELECT * FROM seen WHERE template IN (SELECT template FROM seen GROUP BY template HAVING count(DISTINCT text) >= {min_texts})),
-shares AS (SELECT text, sum(n) AS recurs FROM (SELECT DISTINCT text, line, n FROM held) GROUP BY text),
-whole AS (SELECT text FROM shares WHERE recurs <= {copy_share} * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))),
-proper AS (SELECT template FROM held WHERE text IN (SELECT text FROM whole) GROUP BY template HAVING count(DISTINCT text) >= {min_texts}),
+w AS (SELECT text, string_split(text, chr(10)) AS s, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM u),
+l AS (SELECT text, words, unnest(range(0, len(s))) AS line, unnest(s) AS said FROM w),
+t AS (SELECT text, words, line, list_filter(regexp_split_to_array(regexp_replace(said, '{field}', '<*>', 'g'), '{space}'), lambda x: x <> '') AS t FROM l),
+m AS MATERIALIZED (SELECT text, words, line, len(t) AS n, t FROM t WHERE len(t) >= {SHORT}),
+seen AS MATERIALIZED (SELECT text, words, line, n, unnest(CASE WHEN n < {EXACT} THEN [array_to_string(t, ' ')] WHEN n < {LONG} THEN {leaf(3)} ELSE {leaf(4)} END) AS template FROM m),
+shared AS (SELECT template FROM seen GROUP BY template HAVING count(DISTINCT text) >= 2),
+held AS MATERIALIZED (SELECT * FROM seen WHERE template IN (SELECT template FROM shared)),
+own AS (SELECT template, text, max(words) AS words, sum(n) AS own, max(n) AS n FROM held GROUP BY template, text),
+once AS (SELECT text, sum(n) AS recurs FROM (SELECT DISTINCT text, line, n FROM held) GROUP BY text),
+votes AS (SELECT template, own.n FROM own JOIN once USING (text) WHERE words > own AND recurs - own <= {copy_share} * (words - own)),
+proper AS (SELECT template FROM votes GROUP BY template HAVING count(*) >= CASE WHEN max(n) >= {PASSAGE} THEN {min(2, min_texts)} ELSE {min_texts} END),
 gone AS (SELECT DISTINCT text, line FROM held WHERE template IN (SELECT template FROM proper)),
 kept AS (SELECT l.text, count(*) AS n_lines, count(g.line) AS n_dropped, coalesce(string_agg(said, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS kept FROM l LEFT JOIN gone g ON l.text = g.text AND l.line = g.line GROUP BY l.text)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (text)"""
