@@ -2,8 +2,9 @@
 
 Texts and benchmark items become canonical tokens: numbers, units and names are
 replaced by typed placeholders, punctuation goes and letters are folded, one token
-for one word, so raw and canonical words stay aligned. A name is a capitalised word
-after one that isn't and doesn't end a sentence, so text in title case has none. Windows of ``WINDOW``
+for one word, so raw and canonical words stay aligned. A name is a run of one to three
+capitalised words, after a word in lower case or at the start of a sentence (where it must
+not begin with one of ``STARTERS``); a longer run is a title and has no name. Windows of ``WINDOW``
 canonical tokens are hashed: every window of an item and of a text, so any shared run
 of ``WINDOW`` tokens meets. Windows with fewer than ``LITERALS`` literal tokens say too
 little and aren't used.
@@ -15,13 +16,15 @@ placeholders) are consistent if no value of the item stands for two values of th
 marks around values aside. A text is contaminated by an item if the coverage of a chain
 with consistent slots reaches ``COVERAGE``; it is re-parameterised if slot values differ.
 
-Texts are told apart by digest, so copies are judged once. The item windows are
-broadcast up to ``SMALL`` of them and shuffled beyond that; texts are never
-gathered, and each text only meets items by equal windows.
+Texts are told apart by digest, so copies are judged once. The item windows, five
+numbers each, are broadcast up to ``SMALL`` of them (about 64 bytes each in memory), and
+so are the items' words up to ``SMALL_BYTES``; beyond that both are shuffled. Texts are
+never gathered, and each text only meets items by equal windows.
 
 Nulls: a null or empty text or item is not contaminated or contaminating; a null id
 is passed through. Items of fewer than ``WINDOW`` tokens are looked for as one
-window of their own length. Repeated rows are judged alike. Other columns are
+window of their own length; with fewer than ``LITERALS`` literal tokens only copies with
+equal slots count. Repeated rows are judged alike. Other columns are
 passed through.
 """
 
@@ -30,16 +33,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burrow.store import Tables
+
 WINDOW, LITERALS = 8, 4
 COVERAGE = 0.6
-SMALL = 1_000_000
+SMALL, SMALL_BYTES = 500_000, 32 << 20
 #: Units that read <unit>, and number words that read <num>.
 UNITS = "km cm mm kg mg lb lbs oz miles mile meters metres meter metre feet inches hours hour minutes minute seconds second days weeks months years dollars dollar euros euro cents percent litres liters grams"
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
+#: Words that begin sentences and aren't names.
+STARTERS = (
+    "A About After All Also Although An And Another Any Are As At Be Because Before Both But By Can Choose Compute Consider Could Did Do Does Each Either Every Explain Find For From "
+    "Give Given Had Has Have He Her Here His How However I If In Is It Its Let Like Many Most My Name No Not Now Of Often On Once One Only Or Other Our Out Over Please She Should Since So "
+    "Some Such Suppose Take Than That The Their Then There These They This Those Though Through To Under Until Up Was We Were What When Where Which While Who Whom Whose Why Will With Would Write You Your"
+)
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…–—¿¡"
 _WHITE = "\t\n\x0b\x0c\r"
 #: What may stand between a word's letters and the next space.
-_END = r"(?=[^A-Za-z0-9\x80-\x{10FFFF} ]*(?: |$))"
+_END_OF_NAME = r"(?=(?:[^A-Za-z0-9\x80-\x{10FFFF} ]+(?: |$)| (?![A-Z][a-z])|$))"
+#: After a word in lower case, or at the start of a sentence; not after a name.
+_BEFORE_NAME = rf"(?:(?<= [a-z][^ .!?:]{{0,40}} )|(?<=[.!?:][\"'”’)]{{0,2}} |^ )(?!(?:{STARTERS.replace(' ', '|')})[^a-z]))"
 
 
 def raw_words(text: Column) -> Column:
@@ -59,7 +72,8 @@ def canonical(raw: Column) -> Column:
     Every expression begins with a literal, so that it is tried only where one stands.
     """
     out = F.when(raw.rlike("[0-9]"), F.regexp_replace(F.concat(F.lit(" "), raw), r" [^ 0-9]*+[0-9][^ ]*+", " \u0001n")).otherwise(F.concat(F.lit(" "), raw))
-    out = F.regexp_replace(out, r" (?=[A-Z])(?<= [a-z][^ .!?:]{0,40} )[A-Z][a-z]+(?:['’]s)?" + _END, " \u0001m")
+    for n in (3, 2, 1):
+        out = F.regexp_replace(out, r" (?=[A-Z])" + _BEFORE_NAME + "[A-Z][a-z]+ " * (n - 1) + r"[A-Z][a-z]+(?:['’]s)?" + _END_OF_NAME, " \u0001m" * n)
     out = _folded(F.translate(out, _MARKS, ""))
     out = F.regexp_replace(out, f" (?:{NUMBERS.replace(' ', '|')})(?= |$)", " \u0001n")
     return F.substring(F.regexp_replace(out, f" (?:{UNITS.replace(' ', '|')})(?= |$)", " \u0001u"), 2, 1 << 30)
@@ -70,19 +84,26 @@ def _hash(tokens: Column, at: Column, size: Column) -> Column:
 
 
 def _says(tokens: Column, at: Column, size: Column) -> Column:
-    """Whether a window of an item has enough literal tokens. What meets it has the same."""
+    """Whether a window of an item has enough literal tokens; half of them do for a whole item of less than a window. What meets it has the same."""
     window = F.slice(tokens, at + 1, size)
-    return (F.size(F.filter(window, lambda x: ~x.startswith("\u0001"))) >= F.least(size, F.lit(LITERALS))) & (F.length(F.concat_ws("", window)) > 0)
+    literal = F.size(F.filter(window, lambda x: ~x.startswith("\u0001")))
+    enough = (literal >= F.least(size, F.lit(LITERALS))) | ((size < WINDOW) & (2 * literal >= size))
+    return enough & (F.length(F.concat_ws("", window)) > 0)
 
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """hash, size, item_id, at, item_raw, item_canon: every window of every item."""
+def item_words(items: DataFrame) -> DataFrame:
+    """item_id, item (a number for its text), item_raw and item_canon: the words of every item that has some."""
     raw = raw_words(F.col("text").cast("string"))
-    words = items.where(F.length(raw) > 0).select("item_id", raw.alias("raw"), canonical(raw).alias("said")).distinct().select("item_id", F.split("raw", " ").alias("item_raw"), F.split("said", " ").alias("item_canon"))
-    sized = words.withColumn("size", F.least(F.size("item_canon"), F.lit(WINDOW)))
-    placed = sized.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("item_canon") - F.col("size"))))
+    words = items.where(F.length(raw) > 0).select("item_id", raw.alias("raw"), canonical(raw).alias("said")).distinct()
+    return words.select("item_id", F.xxhash64("raw").alias("item"), F.split("raw", " ").alias("item_raw"), F.split("said", " ").alias("item_canon"))
+
+
+def item_windows(words: DataFrame) -> DataFrame:
+    """hash, size, item_id, item, at, n (words of the item): every window of every item that says enough."""
+    sized = words.withColumns({"size": F.least(F.size("item_canon"), F.lit(WINDOW)), "n": F.size("item_canon")})
+    placed = sized.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
     spot = F.col("item_canon"), F.col("at"), F.col("size")
-    return placed.where(_says(*spot)).withColumn("hash", _hash(*spot))
+    return placed.where(_says(*spot)).select(_hash(*spot).alias("hash"), "size", "item_id", "item", "at", "n")
 
 
 def _value(raw: Column) -> Column:
@@ -117,33 +138,39 @@ def _key(text: Column) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """key (digest of the text), item_id, coverage, n_slots and n_changed of every contaminated pair."""
-    windows = item_windows(items).select("hash", "size", "item_id", "at", "item_raw", "item_canon")
+    tables, kept = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    words = tables.add(item_words(items))
+    windows = tables.add(item_windows(words))
     n_windows = windows.count()
+    n_bytes = words.agg(F.sum(F.length(F.concat_ws(" ", "item_raw", "item_canon")))).first()[0] or 0
     lengths = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most WINDOW different ones
-    raw = raw_words(F.col("text").cast("string"))
-    texts = docs.where("text is not null").select(_key(F.col("text").cast("string")).alias("key"), raw.alias("raw")).select("key", "raw", canonical(F.col("raw")).alias("said")).select("key", F.split("raw", " ").alias("raw"), F.split("said", " ").alias("canon"))
+    text = F.col("text").cast("string")
+    texts = docs.where("text is not null").select(_key(text).alias("key"), raw_words(text).alias("raw"))
+    texts = texts.select("key", "raw", canonical(F.col("raw")).alias("said"))
+    texts = texts.select("key", F.split("raw", " ").alias("raw"), F.split("said", " ").alias("canon"))
     if n_windows > SMALL:
-        texts = texts.dropDuplicates(["key"])
+        texts = tables.add(texts.dropDuplicates(["key"]))
     met = None
     for size in lengths:
         starts = F.when(F.size("canon") >= size, F.sequence(F.lit(0), F.size("canon") - size)).otherwise(F.array().cast("array<int>"))
         # An outer generator: for another one Catalyst infers a filter that computes all words again.
         placed = texts.select("key", "raw", "canon", F.explode_outer(starts).alias("p")).withColumn("hash", _hash(F.col("canon"), F.col("p"), F.lit(size)))
-        own = windows.where(F.col("size") == size).drop("size")
+        own, d = windows.where(F.col("size") == size).drop("size"), (F.col("p") - F.col("at")).alias("d")
         if n_windows <= SMALL:
-            here = placed.where("p is not null").join(F.broadcast(own), "hash")
+            here = placed.where("p is not null").join(F.broadcast(own), "hash").select("key", "item_id", "item", "n", d, "raw", "canon")
         else:
-            spots = placed.where("p is not null").select("key", "p", "hash").join(own.select("hash", "item_id", "at"), "hash").select("key", "item_id", (F.col("p") - F.col("at")).alias("d")).distinct()
-            whole = own.select("item_id", "item_raw", "item_canon").distinct()
-            here = spots.join(whole, "item_id").join(texts, "key").withColumn("p", F.col("d")).withColumn("at", F.lit(0))
-        from_ = F.greatest(F.col("p") - F.col("at"), F.lit(0))
-        skip = from_ - (F.col("p") - F.col("at"))
-        n = F.least(F.size("item_canon") - skip, F.size("canon") - from_)
-        part = here.select("key", "item_id", (F.col("p") - F.col("at")).alias("d"), skip.alias("skip"), "item_raw", "item_canon", F.slice("raw", from_ + 1, n).alias("seg_raw"), F.slice("canon", from_ + 1, n).alias("seg"))
+            spots = placed.where("p is not null").select("key", "p", "hash").join(own, "hash").select("key", "item_id", "item", "n", d).distinct()
+            here = spots.join(texts, "key")
+        from_ = F.greatest("d", F.lit(0))
+        skip = from_ - F.col("d")
+        length = F.least(F.col("n") - skip, F.size("canon") - from_)
+        part = here.select("key", "item_id", "item", "d", skip.alias("skip"), F.slice("raw", from_ + 1, length).alias("seg_raw"), F.slice("canon", from_ + 1, length).alias("seg"))
         met = part if met is None else met.unionAll(part)
     if met is None:
+        tables.clear()
         return docs.sparkSession.createDataFrame([], "key binary, item_id long, coverage double, n_slots long, n_changed long")
-    lined = met.dropDuplicates(["key", "item_id", "d", "item_raw"])
+    lined = met.dropDuplicates(["key", "item_id", "item", "d"])
+    lined = lined.join(F.broadcast(words) if n_bytes <= SMALL_BYTES else words, ["item_id", "item"])
     # One value for each position: a literal, or a marked slot value; null where the text has another canonical token.
     marked = lambda canon, raw: F.when(canon.startswith("\u0001"), F.concat(F.lit("\u0001"), _value(raw))).otherwise(canon)
     was = F.transform("item_canon", lambda x, i: marked(x, F.get("item_raw", i)))
@@ -152,7 +179,11 @@ def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     lines = lined.select("key", "item_id", was.alias("was"), F.struct("d", now.alias("now")).alias("line")).groupBy("key", "item_id", "was").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     near = lines.withColumn("least", F.lit(float(coverage))).withColumn("any", F.expr(_ANY)).where(f"{_COVERED.format('any')} / size(was) >= least")
     judged = near.withColumn("best", F.expr(_BEST)).where("best is not null")
-    return judged.groupBy("key", "item_id").agg(F.max("best").alias("best")).select("key", "item_id", "best.coverage", "best.n_slots", (-F.col("best.unchanging")).alias("n_changed"))
+    judged = judged.where(f"best.unchanging = 0 or size(filter(was, w -> not startswith(w, '\u0001'))) >= least(size(was), {LITERALS})")
+    best = judged.groupBy("key", "item_id").agg(F.max("best").alias("best"))
+    out = kept.add(best.select("key", "item_id", "best.coverage", "best.n_slots", (-F.col("best.unchanging")).alias("n_changed")))
+    tables.clear()
+    return out
 
 
 def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -164,6 +195,7 @@ def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, all their columns, that hold no benchmark item."""
-    found = contamination(docs, items.select(F.col("item_id").cast("long").alias("item_id"), "text")).select(F.col("key").alias("_burrow_key")).distinct()
-    keyed = docs.withColumn("_burrow_key", F.coalesce(_key(F.col("text").cast("string")), F.lit(b"")))
-    return keyed.join(found, "_burrow_key", "left_anti").drop("_burrow_key")
+    found = contamination(docs.select("text"), items.select(F.col("item_id").cast("long").alias("item_id"), "text")).select("key").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    keyed = rows.withColumn("key", F.coalesce(_key(F.col("row.text").cast("string")), F.lit(b"")))
+    return keyed.join(found, "key", "left_anti").select("row.*")
