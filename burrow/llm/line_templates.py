@@ -10,7 +10,7 @@ these are. Lines of under ``EXACT`` tokens have one template with all their toke
 
 A template recurs if different texts hold it: ``min_texts`` of them, or two for a
 template of ``PASSAGE`` tokens or more. A text counts if at most ``copy_share`` of its
-other words (those outside the template's lines) lie in lines that other texts have too:
+other characters (those outside the template's lines) lie in lines that other texts have too:
 in near copies of a document all lines recur because the document does, and the
 near-duplicate stage chooses among those. With ``copy_share`` None every text counts.
 Lines of a recurring template are dropped from every document.
@@ -36,56 +36,63 @@ from burrow.store import Tables
 SHORT, EXACT, LONG, LEAD = 3, 6, 16, 2
 MIN_TEXTS, PASSAGE = 3, 50
 COPY_SHARE = 0.5
-_WORD = r"[^\x20\x09-\x0D]+"
-_FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+#: Into so many parts the lines of a template are dealt when they meet it.
+SALTS = 8
+_WHITE = "\t\x0b\x0c\r"
 
 
 def _key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _templates(t: Column) -> Column:
-    """The templates of a line's tokens."""
-    n = F.size(t)
-    rest = n - LEAD
-
-    def leaf(parts: int) -> Column:
-        at = lambda k: F.floor(rest * k / parts).cast("int")
-        said = [F.xxhash64(F.slice(t, LEAD + 1 + at(k), at(k + 1) - at(k))) for k in range(parts)]
-        head = [F.lit(parts), n, *(F.get(t, F.lit(k)) for k in range(LEAD))]
-        return F.array(*(F.xxhash64(*head, F.lit(i), said[i], F.lit(j), said[j]) for j in range(parts) for i in range(j)))
+def _with_templates(tokens: DataFrame) -> DataFrame:
+    """Rows with t (a line's tokens) and n (their number), and their templates in place of t.
 
+    In steps, so that the code which Spark makes of them stays small enough to be compiled.
+    """
+    sized = tokens.withColumn("parts", F.when(F.col("n") < LONG, 3).otherwise(4))
+    at = lambda k: f"cast(({k} * greatest(n - {LEAD}, 0)) div parts as int)"
+    said = {f"s{k}": F.expr(f"xxhash64(slice(t, {LEAD + 1} + {at(k)}, greatest({at(k + 1)} - {at(k)}, 0)))") for k in range(4)}
+    heads = {"head": F.xxhash64("parts", "n", *(F.get("t", F.lit(k)) for k in range(LEAD))), "whole": F.xxhash64("n", "t")}
+    hashed = sized.select(*(c for c in sized.columns if c != "t"), *(x.alias(c) for c, x in (said | heads).items()))
+    pairs = F.array(*(F.xxhash64("head", F.lit(i), f"s{i}", F.lit(j), f"s{j}") for j in range(4) for i in range(j)))  # the first three are of the first three segments
+    leaf = F.slice(pairs, F.lit(1), F.when(F.col("n") < LONG, 3).otherwise(6))
     none = F.array().cast("array<bigint>")
-    return F.when(n < SHORT, none).when(n < EXACT, F.array(F.xxhash64(n, t))).when(n < LONG, leaf(3)).otherwise(leaf(4))
+    templates = F.when(F.col("n") < SHORT, none).when(F.col("n") < EXACT, F.array("whole")).otherwise(leaf)
+    return hashed.select(*(c for c in sized.columns if c not in ("t", "parts")), templates.alias("templates"))
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """key and words (of the text), line (position from 0), n (tokens), templates: one row for each line that has some."""
+    """key and total (characters of the text's lines), line (position from 0), n (tokens), chars, templates (none of a short line): one row for each line."""
     text = F.col("text").cast("string")
-    words = F.regexp_count(text, F.lit(_WORD)).alias("words")
-    keyed = docs.where(text.isNotNull()).select(_key(text).alias("key"), words, text.alias("text"))
-    # Outer generators keep Catalyst from computing the lines again for a filter that it would infer.
-    lines = keyed.select("key", "words", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "said"))
-    masked = F.when(F.col("said").rlike("[0-9]"), F.regexp_replace("said", _FIELD, "<*>")).otherwise(F.col("said"))
-    tokens = F.array_remove(F.split(F.translate(masked, "\t\x0b\x0c\r", "    "), " "), "")
-    found = lines.select("key", "words", "line", F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), _templates(t).alias("templates")))[0].alias("x"))
-    return found.select("key", "words", "line", "x.n", "x.templates").where(F.size("templates") > 0)
+    keyed = docs.where(text.isNotNull()).select(_key(text).alias("key"), F.length(text).alias("all"), F.split(text, "\n", -1).alias("lines"))
+    # An outer generator and no filter below: for others Catalyst would compute the tokens again.
+    lines = keyed.select("key", (F.col("all") - F.size("lines") + 1).alias("total"), F.posexplode_outer("lines").alias("line", "said"))
+    plain = F.concat(F.lit(" "), F.translate("said", _WHITE, " " * len(_WHITE)))
+    masked = F.when(F.col("said").rlike("[0-9]"), F.regexp_replace(plain, " [^ 0-9]*+[0-9][^ ]*+", " <*>")).otherwise(plain)
+    tokens = lines.select("key", "total", "line", F.length("said").alias("chars"), F.array_remove(F.split(masked, " "), "").alias("t"))
+    return _with_templates(tokens.withColumn("n", F.size("t")))
 
 
 def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, copy_share: float | None = COPY_SHARE) -> DataFrame:
     """key and lines (sorted positions) of each text that loses lines."""
     tables, kept = Tables(docs.sparkSession), Tables(docs.sparkSession)
-    seen = tables.add(parsed_lines(docs)).select("key", "words", "line", "n", F.explode("templates").alias("template"))
-    shared = seen.groupBy("template").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("template")
-    held = tables.add(seen.join(shared, "template"))  # lines that another text has too
-    own = held.groupBy("template", "key").agg(F.max("words").alias("words"), F.sum("n").alias("own"), F.max("n").alias("n"))
+    parsed = tables.add(parsed_lines(docs))
+    seen = parsed.select("key", "line", "chars", "n", F.explode("templates").alias("template"))
+    few = F.when(F.max("n") >= PASSAGE, min(2, min_texts)).otherwise(min_texts).alias("few")
+    shared = seen.groupBy("template").agg(F.min("key").alias("low"), F.max("key").alias("high"), few).where("low <> high").select("template", "few")
+    held = tables.add(seen.drop("n").join(shared, "template"))  # lines that another text has too
+    own = held.groupBy("template", "key").agg(F.sum("chars").alias("own"), F.first("few").alias("few"))
     if copy_share is not None:
-        once = held.select("key", "line", "n").distinct().groupBy("key").agg(F.sum("n").alias("recurs"))
-        rest = F.col("words") - F.col("own")
-        own = own.join(once, "key").where((rest > 0) & (F.col("recurs") - F.col("own") <= copy_share * rest))
-    least = F.when(F.max("n") >= PASSAGE, min(2, min_texts)).otherwise(min_texts)
-    recurring = own.groupBy("template").agg(F.count("*").alias("texts"), least.alias("least")).where("texts >= least").select("template")
-    found = held.join(recurring, "template").groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+        once = held.select("key", "line", "chars").distinct().groupBy("key").agg(F.sum("chars").alias("recurs"))
+        totals = parsed.select("key", "total").distinct()
+        rest = F.col("total") - F.col("own")
+        counts = (rest > 0) & (F.col("recurs") - F.col("own") <= copy_share * rest)
+        own = own.join(once.join(totals, "key"), "key").where(counts)
+    votes = own.groupBy("template").agg(F.count("*").alias("texts"), F.first("few").alias("few"))
+    recurring = votes.where("texts >= few").select("template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = held.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    found = dealt.join(recurring, ["template", "salt"]).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     out = kept.add(found)
     tables.clear()
     return out
@@ -141,16 +148,16 @@ def sql(min_texts: int = MIN_TEXTS, copy_share: float = COPY_SHARE) -> str:
 
     return rf"""
 WITH u AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
-w AS (SELECT text, string_split(text, chr(10)) AS s, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM u),
-l AS (SELECT text, words, unnest(range(0, len(s))) AS line, unnest(s) AS said FROM w),
-t AS (SELECT text, words, line, list_filter(regexp_split_to_array(regexp_replace(said, '{field}', '<*>', 'g'), '{space}'), lambda x: x <> '') AS t FROM l),
-m AS MATERIALIZED (SELECT text, words, line, len(t) AS n, t FROM t WHERE len(t) >= {SHORT}),
-seen AS MATERIALIZED (SELECT text, words, line, n, unnest(CASE WHEN n < {EXACT} THEN [array_to_string(t, ' ')] WHEN n < {LONG} THEN {leaf(3)} ELSE {leaf(4)} END) AS template FROM m),
+w AS (SELECT text, string_split(text, chr(10)) AS s FROM u),
+l AS (SELECT text, length(text) - len(s) + 1 AS total, unnest(range(0, len(s))) AS line, unnest(s) AS said FROM w),
+t AS (SELECT text, total, line, length(said) AS chars, list_filter(regexp_split_to_array(regexp_replace(said, '{field}', '<*>', 'g'), '{space}'), lambda x: x <> '') AS t FROM l),
+m AS MATERIALIZED (SELECT text, total, line, chars, len(t) AS n, t FROM t WHERE len(t) >= {SHORT}),
+seen AS MATERIALIZED (SELECT text, total, line, chars, n, unnest(CASE WHEN n < {EXACT} THEN [array_to_string(t, ' ')] WHEN n < {LONG} THEN {leaf(3)} ELSE {leaf(4)} END) AS template FROM m),
 shared AS (SELECT template FROM seen GROUP BY template HAVING count(DISTINCT text) >= 2),
 held AS MATERIALIZED (SELECT * FROM seen WHERE template IN (SELECT template FROM shared)),
-own AS (SELECT template, text, max(words) AS words, sum(n) AS own, max(n) AS n FROM held GROUP BY template, text),
-once AS (SELECT text, sum(n) AS recurs FROM (SELECT DISTINCT text, line, n FROM held) GROUP BY text),
-votes AS (SELECT template, own.n FROM own JOIN once USING (text) WHERE words > own AND recurs - own <= {copy_share} * (words - own)),
+own AS (SELECT template, text, max(total) AS total, sum(chars) AS own, max(n) AS n FROM held GROUP BY template, text),
+once AS (SELECT text, sum(chars) AS recurs FROM (SELECT DISTINCT text, line, chars FROM held) GROUP BY text),
+votes AS (SELECT template, own.n FROM own JOIN once USING (text) WHERE total > own AND recurs - own <= {copy_share} * (total - own)),
 proper AS (SELECT template FROM votes GROUP BY template HAVING count(*) >= CASE WHEN max(n) >= {PASSAGE} THEN {min(2, min_texts)} ELSE {min_texts} END),
 gone AS (SELECT DISTINCT text, line FROM held WHERE template IN (SELECT template FROM proper)),
 kept AS (SELECT l.text, count(*) AS n_lines, count(g.line) AS n_dropped, coalesce(string_agg(said, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS kept FROM l LEFT JOIN gone g ON l.text = g.text AND l.line = g.line GROUP BY l.text)
