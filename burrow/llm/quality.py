@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burrow.llm.kernels import CHUNK, bounds, hashed_words, slices
+from burrow.llm.kernels import CHUNK, bounds, hashed_words, slices, word_hashes
 from burrow.store import Tables
 
 WORD_BITS, PAIRS = 15, 1 << 16
@@ -53,6 +53,12 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(buckets), np.concatenate(rows), counts, dense
 
 
+def word_hash(word: bytes) -> int:
+    """The hash of one word."""
+    data = np.frombuffer(word, np.uint8)
+    return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+
 def _pairs(data: np.ndarray) -> np.ndarray:
     """Columns of the byte pairs that begin at each byte."""
     return (1 << WORD_BITS) + (data[:-1].astype(np.int32) << 8 | data[1:])

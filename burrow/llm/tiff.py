@@ -1,9 +1,11 @@
 """TIFF columns: a writer, a reader that walks image directories, and their DataFrame operators.
 
 Reading handles both byte orders, chains of directories, strips and tiles, chunky
-and planar samples of 8, 16 or 32 bits, no compression, PackBits, LZW and deflate,
-and the horizontal predictor. ``tiff_pages`` emits one row per page; a file that
-can't be read gives one row with page -1 and the reason in ``error``.
+and planar samples of 1, 4, 8, 16 or 32 bits, no compression, PackBits, LZW and deflate,
+and the horizontal predictor. ``tiff_pages`` emits one row per page; where a file can't be
+read any further it gives one row with page -1 and the reason in ``error``, whatever is
+wrong with it. What a file claims is checked before memory is taken for it: a page has at
+most ``MOST_BYTES``, and a strip or tile is decoded up to the bytes it needs.
 
 Nulls: null bytes give no page; a null text counts as an empty text. Empty
 texts give a payload of one padding unit. Repeated rows give repeated results.
@@ -34,6 +36,8 @@ _WIDE = 64
 _PAGE_ROWS, _ROWS_A_STRIP = 8192, 512
 #: Directories beyond this many mean a loop or a damaged file.
 MOST_PAGES = 1 << 20
+#: Bytes of a page's samples, at most.
+MOST_BYTES = 1 << 28
 
 
 class TiffError(ValueError):
@@ -53,9 +57,9 @@ class Page:
     pixels: np.ndarray  # height x width x samples
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, need: int = MOST_BYTES) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < need:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -84,8 +88,9 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, need: int = MOST_BYTES) -> bytes:
     """Codes of 9 to 12 bits, high bit first; the width grows one code early."""
+    done = 0
     base = [bytes((k,)) for k in range(256)] + [b"", b""]
     table, out, last, width = list(base), [], b"", 9
     held = bits = 0
@@ -98,9 +103,11 @@ def lzw_decode(data: bytes) -> bytes:
         if code == 256:
             table, last, width = list(base), b"", 9
             continue
-        if code == 257:
+        if code == 257 or done >= need:
             break
         if not last:
+            if code > 255:
+                raise TiffError("LZW code out of range")
             now = table[code]
         elif code < len(table):
             now = table[code]
@@ -111,6 +118,7 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise TiffError("LZW code out of range")
         out.append(now)
+        done += len(now)
         last = now
         width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
     return b"".join(out)
@@ -152,14 +160,14 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _inflate(data: bytes) -> bytes:
+def _inflate(data: bytes, need: int) -> bytes:
     try:
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, need)
     except zlib.error as e:
         raise TiffError(f"deflate: {e}") from None
 
 
-_DECODERS = {NONE: bytes, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate}
+_DECODERS = {NONE: lambda data, need: data[:need], PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate}
 _ENCODERS = {NONE: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1)}
 
 
@@ -245,15 +253,25 @@ def decode(data: bytes) -> Iterator[Page]:
         yield _page(data, tags, order, len(seen) - 1)
 
 
+def _samples(raw: bytes, rows: int, n: int, bits: int, kind: np.dtype) -> np.ndarray:
+    """Rows of n samples; those of less than a byte are packed, the high bits first, and each row begins a byte."""
+    if bits >= 8:
+        return np.frombuffer(raw, kind).reshape(rows, n)
+    packed = np.frombuffer(raw, np.uint8).reshape(rows, -1)
+    if bits == 1:
+        return np.unpackbits(packed, axis=1, count=n)
+    return np.stack([packed >> 4, packed & 15], axis=2).reshape(rows, -1)[:, :n]
+
+
 def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str, index: int) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, compression, predictor, planar = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
     if not width or not height:
         raise TiffError("no size")
-    if bits not in (8, 16, 32) or any(b != bits for b in tags.get(BITS, ())) or one(FORMAT, 1) != 1:
+    if bits not in (1, 4, 8, 16, 32) or any(b != bits for b in tags.get(BITS, ())) or one(FORMAT, 1) != 1:
         raise TiffError(f"{bits}-bit samples of format {one(FORMAT, 1)} aren't supported")
-    if compression not in _DECODERS or predictor not in (1, 2):
+    if compression not in _DECODERS or predictor not in (1, 2) or predictor == 2 and bits < 8:
         raise TiffError(f"compression {compression}, predictor {predictor} aren't supported")
     tiled = TILE_AT in tags
     at, sizes = (tags[TILE_AT], tags.get(TILE_BYTES)) if tiled else (tags.get(STRIP_AT), tags.get(STRIP_BYTES))
@@ -266,17 +284,20 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str, index: int)
     planes, each = (samples, 1) if planar == 2 else (1, samples)
     if len(at) < across * down * planes:
         raise TiffError("strips or tiles are missing")
-    kind = np.dtype(f"u{bits // 8}").newbyteorder(order)
+    if width * height * samples * max(bits, 8) // 8 > MOST_BYTES or bw * bh * each * max(bits, 8) // 8 > MOST_BYTES:
+        raise TiffError(f"{width} x {height} samples are too many")
+    kind = np.dtype(f"u{max(bits // 8, 1)}").newbyteorder(order)
     pixels = np.empty((height, width, samples), kind.newbyteorder("="))
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * bh, cell % across * bw
         rows = bh if tiled else min(bh, height - y)
-        raw = _DECODERS[compression](data[at[k] : at[k] + sizes[k]])
-        need = rows * bw * each * kind.itemsize
+        line = -(-bw * each * bits // 8)
+        need = rows * line
+        raw = _DECODERS[compression](data[at[k] : at[k] + sizes[k]], need)
         if len(raw) < need:
             raise TiffError(f"block {k} has {len(raw)} of {need} bytes")
-        block = np.frombuffer(raw, kind, rows * bw * each).reshape(rows, bw, each).astype(pixels.dtype)
+        block = _samples(raw[:need], rows, bw * each, bits, kind).reshape(rows, bw, each).astype(pixels.dtype)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=pixels.dtype)
         part = block[: height - y, : width - x]
@@ -299,8 +320,8 @@ def tiff_pages(files: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
                 try:
                     for p in decode(data.as_py()):
                         yield pa.RecordBatch.from_pylist([{"id": key, "page": p.index, "width": p.width, "height": p.height, "samples": p.samples, "bits": p.bits, "compression": p.compression, "predictor": p.predictor, "layout": p.layout, "pixels": p.pixels.tobytes(), "error": None}], schema)
-                except TiffError as e:
-                    yield pa.RecordBatch.from_pylist([{"id": key, "page": -1, "error": str(e)}], schema)
+                except (TiffError, ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:  # of a damaged file
+                    yield pa.RecordBatch.from_pylist([{"id": key, "page": -1, "error": f"{e or type(e).__name__}"}], schema)
 
     return files.select(F.col(id_col).cast("long").alias("id"), F.col(bytes_col).cast("binary").alias("bytes")).mapInArrow(run, PAGES)
 

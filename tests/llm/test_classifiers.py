@@ -128,3 +128,70 @@ def test_toxicity_without_usable_labels(spark, rows):
     for docs in (odd_documents(spark), no_documents(spark)):
         got = toxicity.toxicity_digest(docs, labels).collect()
         assert len(got) == docs.count() and all(0 <= r.score < 0.3 and r.predicted == 0 and r.spans == "" for r in got)
+
+
+def test_gradient_of_the_cumulative_link_equals_differences():
+    rng = np.random.default_rng(8)
+    width, n, grades = 12, 30, rng.integers(0, 4, 30)
+    cols, vals, at = rng.integers(0, width, 90), rng.normal(size=90), np.repeat(np.arange(n), 3)
+    heft, x = rng.random(n), rng.normal(size=width + 3) * 0.3
+    args = (cols, vals, at, grades, heft, 4, 0.05)
+    _, g = quality.loss(x, *args)
+    for k in range(len(x)):
+        step = np.zeros_like(x)
+        step[k] = 1e-6
+        assert abs((quality.loss(x + step, *args)[0] - quality.loss(x - step, *args)[0]) / 2e-6 - g[k]) < 1e-5
+
+
+def test_expected_grades_equal_plain_sums(spark):
+    """Scores over whole texts against sums of weights in plain Python."""
+    import math
+    import re
+
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(size=quality.WIDTH), np.array([-0.5, 0.7]))
+    texts = ["a bc a a", "", "x", "é é | %%%", "word other " * 60]
+    got = {r.doc_id: r for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    bucket = lambda w: int(quality.word_hash(w.encode()) >> (64 - quality.WORD_BITS))
+    for k, t in enumerate(texts):
+        words, raw = re.findall(r"[^\x20\x09-\x0D]+", t), t.encode()
+        fresh = [w for i, w in enumerate(words) if not i or words[i - 1] != w]
+        s = sum(model.weights[bucket(w)] for w in fresh) / math.sqrt(max(len(words), 1))
+        s += 8 * sum(model.weights[(1 << quality.WORD_BITS) + (a << 8 | b)] for a, b in zip(raw, raw[1:])) / max(len(raw), 1)
+        if words:
+            s += 10 * (len(words) - len(fresh)) / len(words) * model.weights[-2] + math.log1p(len(words)) / 10 * model.weights[-1]
+        tails = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        assert np.allclose(got[k].tails, tails, atol=1e-5) and abs(got[k].expected_grade - sum(tails)) < 1e-5
+
+
+def test_fits_are_bounded(spark, monkeypatch):
+    """One text a labelled id, however many rows it has, and no more counts than the bound."""
+    docs, labels = labelled(spark, 200)
+    many = docs.unionAll(spark.range(3000).selectExpr("5L doc_id", "concat('a ', id) text"))
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda rows, grades, n: seen.update(n=len(rows), counts=sum(len(r[0]) for r in rows)))
+    quality.fit(many, quality.grades_of(labels), 3)
+    assert seen["n"] == 200
+    quality.fit(many, quality.grades_of(labels), 3, most=seen["counts"] // 2)
+    assert 50 < seen["n"] < 150
+    monkeypatch.setattr(toxicity, "train", lambda rows, toxic, weight: seen.update(n=len(rows), tokens=sum(len(r[0]) for r in rows)))
+    toxicity.fit(many, labels)
+    assert seen["n"] == 200
+    toxicity.fit(many, labels, most=seen["tokens"] // 2)
+    assert 50 < seen["n"] < 150
+
+
+def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
+    from burrow.llm import kernels
+
+    docs, labels = labelled(spark, 400)
+    field = toxicity.fit(docs, labels)
+    text = "The river é walks. " * 30 + "You moron, idiot. " + "Stone hill, green. " * 30
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    whole = toxicity.score(frame, field).first()
+    monkeypatch.setattr(toxicity, "pieces", lambda *a: kernels.pieces(*a, limit=100))
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert len(list(toxicity.pieces(data, np.array([0, len(data)]), toxicity._STOP, toxicity._SOLID))) > 8
+    cut = toxicity.score(frame, field).first()
+    assert whole.spans and [tuple(s) for s in cut.spans] == [tuple(s) for s in whole.spans] and abs(cut.score - whole.score) < 1e-6
+    assert all(text[s.start : s.end].lower() in ("moron", "idiot", "moron, idiot") for s in whole.spans)

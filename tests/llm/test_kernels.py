@@ -63,3 +63,31 @@ def test_slices_cover_all_rows_and_nulls_are_empty():
 
 def test_words_of_nothing():
     assert len(K.words(np.zeros(0, np.uint8), np.array([0, 0]))[0]) == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(TEXTS, st.integers(1, 9))
+def test_hashes_dont_depend_on_pieces(texts, chunk):
+    for _, _, data, offsets in as_slices(texts):
+        low = K.ascii_lower(data)
+        starts, ends, rows = K.words(low, offsets)
+        found = list(K.hashed_words(data, offsets, True, chunk))
+        assert np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)]).tolist() == K.word_hashes(low, starts, ends).tolist()
+        assert np.concatenate([np.zeros(0, np.int64), *(r for _, r in found)]).tolist() == rows.tolist()
+
+
+def test_hashes_of_heads():
+    data = np.frombuffer(b"abcdef abcxyz", np.uint8)
+    assert (K.head_hashes(data, np.array([0, 7]), 3) == K.word_hashes(data, np.array([0, 7]), np.array([3, 10]))).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab. !é", max_size=80), st.integers(4, 20))
+def test_pieces_cover_a_text(text, limit):
+    data = np.frombuffer(text.encode(), np.uint8)
+    stops, solid = np.zeros(256, bool), np.ones(256, bool)
+    stops[ord(".")] = True
+    solid[[ord(" "), ord("."), ord("!")]] = False
+    got = list(K.pieces(data, np.array([0, len(data)]), stops, solid, limit))
+    assert b"".join(p.tobytes() for p, *_ in got) == data.tobytes() and all(len(p) <= limit for p, *_ in got if len(data) > limit)
+    assert [int(s[0]) for *_, s in got] == list(np.cumsum([0, *(len(p) for p, *_ in got)])[:-1])

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from burrow.llm import licenses, line_templates, mixing
+from burrow.llm import line_templates, mixing
 from tests.llm.odd import no_documents, odd_documents
 
 
@@ -73,40 +73,6 @@ def test_no_python_runs_on_the_native_path(spark):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
-MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this
-software and associated documentation files (the "Software"), to deal in the Software without
-restriction, including without limitation the rights to use, copy, modify, merge, publish,
-distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
-Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or
-substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, express or implied,
-including but not limited to the warranties of merchantability, fitness for a particular
-purpose and noninfringement."""
-
-
-def test_licences(spark):
-    rows = [(1, MIT), (2, "Text.\nLicensed under the Apache License, Version 2.0.\nMore. All rights reserved."), (3, None), (4, "the licence of poets is not known here"), (5, "Text that wraps. Licensed under\ncc BY-NC 4.0. End"), (6, "\n\n".join(reversed(MIT.split("\n\n"))))]
-    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
-    assert [got[k].licenses for k, _ in rows] == ["MIT", "Apache-2.0,all-rights-reserved", "", "", "CC-BY-NC-4.0", ""]
-    assert got[1].sentence_ids == "6,7,8" and got[6].n_sentences == 3  # the order counts
-    same(rows_of(licenses.license_scan(docs)), oracle(licenses.sql(), docs))
-    odd = odd_documents(spark)
-    same(rows_of(licenses.license_scan(odd)), oracle(licenses.sql(), odd))
-    assert licenses.license_scan(no_documents(spark)).count() == 0
-
-
-def test_known_sentences_are_normal_and_anchored():
-    import re
-
-    for s in licenses.SENTENCES.values():
-        assert licenses.normalise(s) == s and re.search(licenses._ANCHOR, s)
-    assert {i for _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES)
-
-
 def test_mixing_equals_the_oracle_and_its_targets(spark):
     rng = random.Random(4)
     rows = [(k, " ".join("word" for _ in range(rng.randrange(0, 900))) + (" | x" if k % 9 == 0 else " 12345" if k % 5 == 0 else ""), rng.choice(["en", "fr", "de", None]), "hot" if k % 3 else f"s{k % 5}") for k in range(400)]

@@ -97,3 +97,58 @@ def test_digest_is_of_the_payload(spark):
         assert (g.media_bytes, g.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert T.text_media_digest(no_documents(spark)).count() == 0
     assert len(T.text_payload(b"x" * 192)) == 192 and len(T.text_payload(b"x" * 193)) == 384
+
+
+@pytest.mark.parametrize("compression", [T.NONE, T.LZW, T.DEFLATE, T.PACKBITS])
+def test_any_damage_gives_rows(spark, compression):
+    rng, whole = np.random.default_rng(7), T.encode([picture(30, 20, 3), picture(9, 5, 1)], compression)
+    files = []
+    for k in range(300):
+        data = bytearray(whole)
+        for at in rng.integers(0, len(data), 1 + k % 6):
+            data[at] = rng.integers(256)
+        files.append((k, data[: rng.integers(8, len(data) + 1)] if k % 3 == 0 else data))
+    rows = T.tiff_pages(spark.createDataFrame(files, "id long, data binary").repartition(2), "id", "data").collect()
+    assert {r.id for r in rows if r.page >= 0 or r.error} >= {k for k, d in files if len(d) >= 8 and struct.unpack_from("<I", d, 4)[0]}
+
+
+def with_tags(data, changes):
+    """The file with other values in entries of its first directory."""
+    out, at = bytearray(data), struct.unpack_from("<I", data, 4)[0]
+    for k in range(struct.unpack_from("<H", out, at)[0]):
+        where = at + 2 + 12 * k
+        if (tag := struct.unpack_from("<H", out, where)[0]) in changes:
+            struct.pack_into("<HII", out, where + 2, 4, 1, changes[tag])
+    return bytes(out)
+
+
+def test_samples_of_less_than_a_byte():
+    rng = np.random.default_rng(3)
+    for bits, width in ((1, 21), (4, 7)):
+        want = rng.integers(0, 1 << bits, (9, width, 1)).astype(np.uint8)
+        packed = np.packbits(want[:, :, 0], axis=1) if bits == 1 else (lambda p: p[:, ::2] << 4 | p[:, 1::2])(np.pad(want[:, :, 0], ((0, 0), (0, 1))))
+        for compression in (T.NONE, T.PACKBITS, T.LZW, T.DEFLATE):
+            data = with_tags(T.encode([packed[:, :, None]], compression, 1), {T.WIDTH: width, T.BITS: bits})
+            assert (next(T.decode(data)).pixels == want).all()
+
+
+def test_claims_are_checked_before_memory_is_taken():
+    data = T.encode([picture(8, 8, 1)], T.DEFLATE, 1)
+    for changes in ({T.WIDTH: 1 << 31}, {T.HEIGHT: 1 << 31, T.STRIP_ROWS: 1 << 31}, {T.SAMPLES: 1 << 30}):
+        with pytest.raises(T.TiffError):
+            list(T.decode(with_tags(data, changes)))
+    bomb = zlib.compress(bytes(1 << 20))
+    assert len(T._inflate(bomb, 100)) == 100
+
+
+def test_feature_equals_a_plain_count():
+    text = ("some words é " * 700).encode()
+    pages = list(T.decode(T.text_tiff(text)))
+    payload = T.text_payload(text)
+    rows = len(payload) // 192
+    column = [sum(payload[192 * r + 3 * c + s] for r in range(rows) for s in range(3)) for c in range(64)]
+    middle = sorted(column)
+    median = (middle[31] + middle[32]) / 2
+    marks = "".join("1" if x >= median else "0" for x in column)
+    channels = "-".join(str(sum(payload[s::3])) for s in range(3))
+    assert T.feature(pages) == f"{len(pages)}:{rows}:{channels}:{int(marks, 2):016x}"
