@@ -35,6 +35,13 @@ def counters(journal: DataFrame) -> DataFrame:
     return actions(journal).groupBy("drive").agg(F.count("*").alias("processed"), F.count_if(a == "C").alias("added"), F.count_if(a == "D").alias("removed"), F.count_if(a == "R").alias("renamed"))
 
 
+def live_metrics(journal: DataFrame, drives: DataFrame) -> DataFrame:
+    """The counters of each drive with the last usn seen, and how far that is behind the journal's next one."""
+    seen = counters(journal).join(journal.groupBy("drive").agg(F.max("usn").alias("last_usn")), "drive")
+    ends = drives.select(F.regexp_replace("root", r"\\+$", "").alias("drive"), "next_usn")
+    return seen.join(F.broadcast(ends), "drive", "left").withColumn("behind", F.greatest(F.col("next_usn") - F.col("last_usn") - 1, F.lit(0))).drop("next_usn")  # one row a drive
+
+
 def between(journal: DataFrame, start: int, end: int) -> DataFrame:
     """A bounded catch-up read."""
     return journal.where((F.col("usn") >= start) & (F.col("usn") < end))
@@ -48,9 +55,9 @@ def resumable(journal_id: int, lowest_valid: int, saved_id: int, saved_usn: int)
 def fold(base: DataFrame, journal: DataFrame, apply_moves: bool = False) -> DataFrame:
     """Live references after a journal: drive, mft_ref, birth_usn (-1: of the base), name, parent_ref, file_attributes.
 
-    ``base``: drive, mft_ref, name, parent_ref, one row a reference. One aggregate of the
-    journal by reference holds all that matters of it: its creations and renames after
-    the last deletion are found from ordered pairs, so no history is gathered.
+    ``base``: drive, mft_ref, name, parent_ref, one row a reference. Three aggregates of the
+    journal by reference hold all that matters of it: the last deletion, the first creation
+    after it and the last rename after that, each needing the one before; no history is gathered.
     """
     acts = actions(journal).where("action <> '-'")
     deleted = acts.where("action = 'D'").groupBy("drive", "mft_ref").agg(F.max("usn").alias("last_del"))

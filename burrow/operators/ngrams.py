@@ -37,9 +37,13 @@ def postings(entries: DataFrame) -> DataFrame:
     return entries.select("drive", "entry_idx", F.explode(name_grams(F.col("name_lc"))).alias("gram")).select("drive", "gram", "entry_idx")
 
 
-def posting_lists(posting: DataFrame) -> DataFrame:
-    """For inspection: the sorted positions of each gram."""
-    return posting.groupBy("drive", "gram").agg(F.sort_array(F.collect_list("entry_idx")).alias("entries"))
+def clustered(posting: DataFrame) -> DataFrame:
+    """Postings dealt by range of drive, gram and position, and sorted: in a file a gram's rows lie together, so a lookup
+    reads the row groups that may hold it and skips the others. A hot gram is spread over several files.
+    """
+    n = int(posting.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["drive", "gram", "entry_idx"]
+    return posting.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
 def needed(spec: QuerySpec) -> list[str] | None:
@@ -58,17 +62,33 @@ def candidates(posting: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def pruned(entries: DataFrame, posting: DataFrame | None, spec: QuerySpec, built_at: DataFrame | None = None) -> DataFrame:
-    """The entries a query must look at: candidates, and all added after the index was built (drive, built_count)."""
+    """The entries a query must look at: candidates, and all added after the index was built (drive, built_count); a drive
+    without a count is all tail.
+    """
     wanted = needed(spec)
     if posting is None or wanted is None:
         return entries
     met = entries.join(candidates(posting, wanted), ["drive", "entry_idx"], "left_semi")
     if built_at is None:
         return met
-    tail = entries.join(F.broadcast(built_at), "drive").where(F.col("entry_idx") >= F.col("built_count")).select(*entries.columns)  # one row a drive
-    old = met.join(F.broadcast(built_at), "drive", "left").where(F.col("built_count").isNull() | (F.col("entry_idx") < F.col("built_count"))).select(*entries.columns)
+    since = F.coalesce("built_count", F.lit(0))
+    tail = entries.join(F.broadcast(built_at), "drive", "left").where(F.col("entry_idx") >= since).select(*entries.columns)  # one row a drive
+    old = met.join(F.broadcast(built_at), "drive").where(F.col("entry_idx") < F.col("built_count")).select(*entries.columns)
     return old.unionByName(tail)
 
 
+def built_at(entries: DataFrame) -> DataFrame:
+    """The watermark of an index built now: drive, built_count."""
+    return entries.groupBy("drive").agg((F.max("entry_idx") + 1).alias("built_count"))
+
+
+def probe_stats(entries: DataFrame, posting: DataFrame | None) -> DataFrame:
+    """Entries, grams and postings of each drive; an index that was cleared has none."""
+    n = entries.groupBy("drive").agg(F.count("*").alias("entries"))
+    if posting is None:
+        return n.withColumns({"grams": F.lit(0).cast("long"), "postings": F.lit(0).cast("long")})
+    return n.join(gram_count(posting), "drive", "left").fillna(0, ["grams", "postings"])
+
+
 def gram_count(posting: DataFrame) -> DataFrame:
     return posting.groupBy("drive").agg(F.countDistinct("gram").alias("grams"), F.count("*").alias("postings"))

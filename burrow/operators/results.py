@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,32 @@ def toggle(column: str, ascending: bool, chosen: str) -> tuple[str, bool]:
     return (column, not ascending) if chosen == column else (chosen, True)
 
 
+#: Up to so many hits the cap is a top-k; and positions a range of a larger cap.
+TOP_K, RANGE = 50_000, 1 << 16
+
+
 def cap(hits: DataFrame, most: int) -> DataFrame:
-    """The first hits in drive order and position: whole drives, the last one cut short."""
-    return hits.orderBy("drive", "entry_idx").limit(most)
+    """The first hits in drive order and position: whole drives, the last one cut short.
+
+    A large cap counts hits by ranges of positions, takes the ranges before the one that
+    passes the cap whole, and ranks within that one only: no task sees more than a range.
+    """
+    if most <= TOP_K:
+        return hits.orderBy("drive", "entry_idx").limit(most)
+    return cap_by_ranges(hits, most)
+
+
+def cap_by_ranges(hits: DataFrame, most: int, size: int = RANGE) -> DataFrame:
+    """``cap`` by counts of ranges of so many positions."""
+    dealt = hits.withColumn("_range", F.floor(F.col("entry_idx") / size))
+    counts = dealt.groupBy("drive", "_range").agg(F.count("*").alias("_n"))  # a row for each 65,536 positions
+    before = Window.orderBy("drive", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < most)
+    joined = dealt.join(spans, ["drive", "_range"])
+    whole = F.col("_before") + F.col("_n") <= most
+    place = F.row_number().over(Window.partitionBy("drive", "_range").orderBy("entry_idx"))
+    last = joined.where(~whole).withColumn("_place", place).where(F.col("_place") <= most - F.col("_before"))
+    return joined.where(whole).select(*hits.columns).unionByName(last.select(*hits.columns))
 
 
 def project(hits: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -66,9 +91,34 @@ def drive_states(entries: DataFrame, drives: DataFrame) -> DataFrame:
     return named.join(counts, "drive", "left").select("drive", state.alias("state"))
 
 
+#: Fixed value: bytes of an entry beside its name: place and length of the name, flags, parent, size, date and reference, aligned.
+ENTRY_BYTES = 40
+
+
 def storage(entries: DataFrame) -> DataFrame:
-    """Bytes of the name pool (two a character)."""
-    return entries.groupBy("drive").agg((F.sum(F.length("name")) * 2).alias("pool_bytes"))
+    """Bytes of the name pool (two a character) and of the entries."""
+    return entries.groupBy("drive").agg((F.sum(F.length("name")) * 2).alias("pool_bytes"), (F.count("*") * ENTRY_BYTES).alias("entry_bytes"))
+
+
+def build_progress(entries: DataFrame, drives: DataFrame) -> DataFrame:
+    """Of all drives: how many are done (ready, or failed), how many are ready, and the entries so far."""
+    done = F.col("index_ready") | F.col("error").isNotNull()
+    states = drives.agg(F.count("*").alias("drives"), F.count_if(done).alias("done"), F.count_if("index_ready").alias("ready"))
+    return states.crossJoin(entries.agg(F.count("*").alias("entries")))  # one row each
+
+
+def stat(paths: DataFrame, stats: DataFrame) -> DataFrame:
+    """Size, date and whether it was found, for each asked path (in any case)."""
+    known = stats.select(F.lower("path").alias("_p"), "size", "modified", "found").where("found").dropDuplicates(["_p"])
+    out = paths.join(known, F.lower("path") == F.col("_p"), "left").drop("_p")
+    return out.withColumns({"size": F.coalesce("size", F.lit(0)), "found": F.coalesce("found", F.lit(False))})
+
+
+def hidden_probe(paths: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Whether each asked path (in any case) is hidden and a system file; false for what isn't there. ``attributes``: path, hidden_system."""
+    known = attributes.groupBy(F.lower("path").alias("_p")).agg(F.bool_or("hidden_system").alias("hidden_system"))
+    out = paths.join(known, F.lower("path") == F.col("_p"), "left").drop("_p")
+    return out.withColumn("hidden_system", F.coalesce("hidden_system", F.lit(False)))
 
 
 def selection_summary(selected: DataFrame, limit: int = SUMMARY_LIMIT) -> DataFrame:
@@ -105,9 +155,13 @@ def dangerous_paths(selected: DataFrame) -> DataFrame:
     return selected.where(fn.dangerous(F.col("path"))).groupBy(F.lower("path").alias("path_lc")).agg(F.min("path").alias("path"))
 
 
-def copied(selected: DataFrame, column: str = "path") -> DataFrame:
-    """Paths or names joined by line feeds, in the order of positions. It is a user's selection: one value by its nature."""
-    rows = selected.select(F.struct("drive", "entry_idx", F.col(column).alias("v")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rows"))
+#: Rows that can be copied at once.
+COPY_LIMIT = 20_000
+
+
+def copied(selected: DataFrame, column: str = "path", limit: int = COPY_LIMIT) -> DataFrame:
+    """Paths or names joined by line feeds, in the order of positions, of at most ``limit`` selected rows: one value for a clipboard."""
+    rows = cap(selected, limit).select(F.struct("drive", "entry_idx", F.col(column).alias("v")).alias("r")).agg(F.sort_array(F.collect_list("r")).alias("rows"))
     return rows.select(F.array_join(F.transform("rows", lambda r: r["v"]), "\n").alias("copied"))
 
 
@@ -161,7 +215,15 @@ def classify_deletes(items: DataFrame) -> DataFrame:
 
 
 def sample(entries: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
-    """Seeded draws with replacement, by position: n point lookups, not a scan of draws."""
-    total = entries.agg(F.max("entry_idx").alias("top"))
-    draws = entries.sparkSession.range(n).select("id", F.rand(seed).alias("u")).join(F.broadcast(total)).select("id", F.floor(F.col("u") * (F.col("top") + 1)).alias("entry_idx"))
-    return draws.join(entries, "entry_idx").select("id", "drive", "entry_idx", "path")
+    """n seeded draws with replacement over the positions of all drives: point lookups, not a scan of draws."""
+    counts = sorted((r["drive"], r["n"]) for r in entries.groupBy("drive").agg(F.count("*").alias("n")).collect())  # a row a drive
+    rng, total, drawn = random.Random(seed), sum(n for _, n in counts), []
+    for k in range(n if total else 0):
+        at = rng.randrange(total)
+        for drive, size in counts:
+            if at < size:
+                drawn.append((k, drive, at))
+                break
+            at -= size
+    draws = entries.sparkSession.createDataFrame(drawn, "id long, drive string, entry_idx long")
+    return entries.join(F.broadcast(draws), ["drive", "entry_idx"]).select("id", "drive", "entry_idx", "path")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burrow.functions import BACKSLASH, extension
+from burrow.store import shared_folder
 
 ROOT_REF = 5
 MOST_STEPS = 64
@@ -13,13 +14,8 @@ _DOUBLINGS = 6  # 2 ** 6 steps
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint. spark.checkpoint.dir names the shared folder; only a local run without it gets one."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or "/tmp/burrow-checkpoints")
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -115,7 +111,3 @@ def neutral(entries: DataFrame, positions: DataFrame) -> DataFrame:
     wanted = entries.select("drive", "entry_idx", "is_dir", "is_deleted", "hidden_effective", "parent_idx", "size", "modified", "name")
     out = positions.join(wanted, ["drive", "entry_idx"], "left")
     return out.fillna({"is_dir": False, "is_deleted": False, "hidden_effective": False, "parent_idx": -1, "size": 0, "name": ""}).withColumn("has_metadata", F.col("modified").isNotNull())
-
-
-def empty_like(spark: SparkSession, entries: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], entries.schema)

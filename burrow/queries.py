@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burrow import functions as fn
 from burrow import sinks
-from burrow.config import EngineConfig
+from burrow.config import LANGUAGES, EngineConfig, parse_excluded
 from burrow.engine import Engine, fixture_engine
 from burrow.operators import journal as J
 from burrow.operators import ngrams, results, tree
 from burrow.sources import drives as D
-from burrow.sources import fixtures
+from burrow.plans import rewrite
+from burrow.sources import fixtures, image, mft, snapshot
+from burrow.store import Tables
+from burrow.streaming.live import LiveIndex
 from burrow.sources.fixtures import _NAMES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +118,30 @@ _search("hangul_text", "보고서", f"{_has('보고서')}")
 _search("flagship_search", "photo *.jpg >100MB >1998-01", f"{_has('photo')} AND ext_lc = 'jpg' AND size > 104857600 AND modified >= TIMESTAMP '1998-01-01'")
 
 
+def _macro(name: str, query: str, where: str) -> None:
+    """A search by a rewritten query, which is a column of each hit."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fixture_engine(spark, sf_dir).hits(query).select(*_HITS, F.lit(query).alias("query"))
+
+    told = query.replace("'", "''")
+    _register(name, f"{_BASE} SELECT {', '.join(_HITS)}, '{told}' AS query FROM full_entries WHERE {_SHOWN} AND {where}")(run)
+
+
+_macro("macro_group", rewrite.group_filter("photo *.txt .docx", "img"), f"{_has('photo')} AND NOT is_dir AND ext_lc IN ('jpg', 'jpeg', 'png', 'gif', 'bmp', 'webp', 'svg', 'ico', 'tiff')")
+_macro("macro_kind", rewrite.kind_filter('folder: "vacation photo" 1', "file:"), f"{_has('vacation photo')} AND {_has('1')} AND NOT is_dir")
+_macro("macro_size", rewrite.bound_filter("report >1MB >1996", ">100MB", True), f"{_has('report')} AND size > 104857600 AND modified >= TIMESTAMP '1996-01-01'")
+_macro("macro_date", rewrite.bound_filter("report >100MB >1996", "<2000", False), f"{_has('report')} AND size > 104857600 AND (modified IS NULL OR modified < TIMESTAMP '2000-01-01')")
+_macro("macro_folder", rewrite.in_folder(r"img C:\EUROPE" + "\\", "C:\\ASIA"), f"{_has('img')} AND starts_with(lower(path), concat('c:', chr(92), 'asia', chr(92)))")
+_search("excluded_setting", "img", f"{_has('img')} AND NOT contains(concat(lower(path), chr(92)), concat(chr(92), 'winsxs', chr(92)))", EngineConfig(excluded_folders=parse_excluded(" WinSxS ; ;")))
+
+
+@_register("tombstones_hidden", f"{_BASE} SELECT {', '.join(_HITS)} FROM full_entries WHERE {_SHOWN} AND {_has('img')} AND mft_ref % 13 <> 0")
+def tombstones_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = fixture_engine(spark, sf_dir).entries.withColumn("is_deleted", F.expr("mft_ref % 13 = 0"))
+    return Engine(entries).hits("img").select(*_HITS)
+
+
 @_register("parent_link", f"WITH {_RAW} SELECT drive, entry_idx, mft_ref, parent_ref, parent_idx, name FROM linked")
 def parent_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture_engine(spark, sf_dir).entries.select("drive", "entry_idx", "mft_ref", "parent_ref", "parent_idx", "name")
@@ -152,7 +180,7 @@ def drive_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.footer(fixture_engine(spark, sf_dir).entries)
 
 
-@_register("storage_size", f"WITH {_RAW} SELECT drive, CAST(sum(length(name)) * 2 AS BIGINT) AS pool_bytes FROM entries GROUP BY drive")
+@_register("storage_size", f"WITH {_RAW} SELECT drive, CAST(sum(length(name)) * 2 AS BIGINT) AS pool_bytes, CAST(count(*) * 40 AS BIGINT) AS entry_bytes FROM entries GROUP BY drive")
 def storage_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.storage(fixture_engine(spark, sf_dir).entries)
 
@@ -185,6 +213,7 @@ _ranked("sort_name_ci_topn", "name", True, "upper(name), drive, entry_idx")
 _ranked("sort_size_desc", "size", False, "size DESC, drive DESC, entry_idx DESC")
 _ranked("sort_path", "path", True, "path, drive, entry_idx")
 _ranked("sort_date_desc", "date", False, "coalesce(modified, TIMESTAMP '0001-01-01') DESC, drive DESC, entry_idx DESC")
+_ranked("sort_drive", "drive", False, "upper(drive) DESC, drive DESC, entry_idx DESC")
 _ranked("sort_kind", "kind", True, "CAST(is_dir AS INTEGER), drive, entry_idx")
 
 
@@ -292,7 +321,7 @@ def metadata_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.enrich(fixture_engine(spark, sf_dir).entries, fixtures.file_stats(spark, sf_dir)).select("drive", "entry_idx", "size", F.col("modified").cast("timestamp_ntz").alias("modified"))
 
 
-_OUTCOMES = f"o AS (SELECT concat('C:', chr(92), 'bulk', chr(92), {_NAMES}) AS path, o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'Locked' WHEN 1 THEN 'AccessDenied' WHEN 2 THEN 'BadName' WHEN 3 THEN 'Protected' ELSE 'None' END AS cause FROM orders WHERE o_orderkey % 11 = 0)"
+_OUTCOMES = f"o AS (SELECT concat('C:', chr(92), 'bulk', chr(92), {_NAMES}) AS path, o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'Locked' WHEN 1 THEN 'AccessDenied' WHEN 2 THEN 'BadName' WHEN 3 THEN 'Protected' ELSE 'None' END AS cause FROM orders)"
 
 
 @_register("cause_top8", f"""WITH {_OUTCOMES}, r AS (SELECT *, row_number() OVER (PARTITION BY cause ORDER BY path) AS rank, count(*) OVER (PARTITION BY cause) AS failed FROM o WHERE cause <> 'None')
@@ -308,7 +337,7 @@ def delete_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("delete_classify", f"""WITH {_OUTCOMES} SELECT path, CASE WHEN o_orderkey % 5 = 0 THEN 'success' WHEN o_orderkey % 7 = 0 THEN 'failed:Locked' WHEN o_orderkey % 7 = 1 THEN 'failed:AccessDenied' WHEN o_orderkey % 3 = 0 THEN 'recycled' WHEN o_orderkey % 3 = 1 THEN 'failed:Locked' ELSE 'permanent_candidate' END AS outcome FROM o""")
 def delete_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 11 = 0").select(
+    items = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.concat(F.lit("C:\\bulk\\"), F.expr(_NAMES)).alias("path"), F.expr("o_orderkey % 5 <> 0").alias("exists"),
         F.expr("case o_orderkey % 7 when 0 then 32 when 1 then 5 else 0 end").alias("probe_code"), F.expr("case o_orderkey % 3 when 0 then 0 when 1 then 33 else 145 end").alias("recycle_code"),
     )
@@ -356,3 +385,288 @@ def journal_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("copied_names", f"{_BASE} SELECT string_agg(name, chr(10) ORDER BY drive, entry_idx) AS copied FROM full_entries WHERE {_SHOWN} AND name_lc LIKE 'photo!__.png' ESCAPE '!'")
 def copied_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.copied(fixture_engine(spark, sf_dir).hits("photo_?.png"), "name")
+
+
+@_register("default_order", f"{_BASE} SELECT name, path, size AS size_bytes, row_number() OVER (ORDER BY upper(name), drive, entry_idx) AS place FROM full_entries WHERE {_SHOWN} AND {_has('report_7')}")
+def default_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search as it is shown, by name."""
+    engine = fixture_engine(spark, sf_dir)
+    place = F.row_number().over(Window.orderBy(*results.sort_keys(engine.config.sort_column, engine.config.sort_ascending)))
+    found = results.cap(engine.hits("report_7"), engine.config.max_results)
+    return found.select("name", "path", F.col("size").alias("size_bytes"), place.cast("long").alias("place"))
+
+
+@_register("sort_toggle", "SELECT * FROM (VALUES (1, 'name', false), (2, 'size', true), (3, 'size', false), (4, 'name', true)) t(click, sort_column, ascending)")
+def sort_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, now = [], ("name", True)
+    for k, chosen in enumerate(("name", "size", "size", "name"), 1):
+        now = results.toggle(*now, chosen)
+        rows.append((k, *now))
+    return spark.createDataFrame(rows, "click int, sort_column string, ascending boolean")
+
+
+@_register("large_cap", f"{_BASE} SELECT drive, entry_idx, name FROM full_entries QUALIFY row_number() OVER (ORDER BY drive, entry_idx) <= 16001")
+def large_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cap that is counted by ranges, as caps over ``results.TOP_K`` are."""
+    return results.cap_by_ranges(fixture_engine(spark, sf_dir).entries, 16_001, 1 << 10).select("drive", "entry_idx", "name")
+
+
+@_register("probe_top50", f"{_BASE} SELECT drive, entry_idx, path FROM full_entries WHERE {_SHOWN} AND {_has('img')} ORDER BY drive, entry_idx LIMIT 50")
+def probe_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture_engine(spark, sf_dir).probe("img").select("drive", "entry_idx", "path")
+
+
+@_register("random_sample", None)
+def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.sample(fixture_engine(spark, sf_dir).entries)
+
+
+@_register("long_paths", rf"{_BASE} SELECT drive, entry_idx, concat('\\?\', path) AS long_path, path AS plain_path, concat('\\?\UNC\srv\', name) AS unc_path FROM full_entries")
+def long_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = fn.long_path(F.col("path"))
+    unc = fn.long_path(fn.plain_path(fn.long_path(F.concat(F.lit("\\\\srv\\"), "name"))))
+    return fixture_engine(spark, sf_dir).entries.select("drive", "entry_idx", fn.long_path(long).alias("long_path"), fn.plain_path(long).alias("plain_path"), unc.alias("unc_path"))
+
+
+@_register("reference_words", f"WITH {_RAW} SELECT drive, entry_idx, mft_ref AS masked, mft_ref % 1000 * 4294967296 + 4294967295 - mft_ref % 7 AS joined FROM entries")
+def reference_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References without their sequence numbers, and 64-bit values from signed halves."""
+    joined = fn.join_words(F.expr("mft_ref % 1000"), F.expr("cast(-1 - mft_ref % 7 as int)"))
+    return fixture_engine(spark, sf_dir).entries.select("drive", "entry_idx", fn.mask_ref(F.expr("mft_ref + shiftleft(9L, 48)")).alias("masked"), joined.alias("joined"))
+
+
+_STATS = "stats AS (SELECT concat('D:', chr(92), source, chr(92), 'doc_', doc_id, '.', lang) AS path, n_chars + 7 AS size, doc_id % 10 <> 0 AS found FROM documents)"
+
+
+@_register("shown_size", f"{_BASE}, {_STATS} SELECT drive, entry_idx, CASE WHEN e.size = 0 AND NOT is_dir AND s.found THEN s.size ELSE e.size END AS shown FROM (SELECT * REPLACE (CASE WHEN entry_idx % 3 = 0 THEN 0 ELSE size END AS size) FROM full_entries WHERE drive = 'D:') e LEFT JOIN stats s USING (path)")
+def shown_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are stored as empty show the size that is found on the drive."""
+    entries = fixture_engine(spark, sf_dir).entries.where("drive = 'D:'").withColumn("size", F.expr("if(entry_idx % 3 = 0, 0L, size)"))
+    stats = fixtures.file_stats(spark, sf_dir).where("found").select("path", F.col("size").alias("now"))
+    return entries.join(stats, "path", "left").select("drive", "entry_idx", fn.shown_size(F.col("size"), F.col("is_dir"), F.col("now")).alias("shown"))
+
+
+@_register("point_stat", f"{_BASE}, {_STATS} SELECT p.path, coalesce(s.size, 0) AS size, s.path IS NOT NULL AS found FROM full_entries p LEFT JOIN (SELECT * FROM stats WHERE found) s ON lower(p.path) = lower(s.path) WHERE p.mft_ref % 5 = 0")
+def point_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = fixture_engine(spark, sf_dir).entries.where("mft_ref % 5 = 0").select("path")
+    return results.stat(asked, fixtures.file_stats(spark, sf_dir)).select("path", "size", "found")
+
+
+@_register("hidden_probe", f"{_BASE}, a AS (SELECT lower(path) AS p, bool_or(hidden_system) AS h FROM full_entries GROUP BY lower(path)) SELECT upper(path) AS path, coalesce(h, false) AS hidden_system FROM full_entries LEFT JOIN a ON p = lower(path) WHERE is_dir UNION ALL SELECT concat('X:', chr(92), 'NONE'), false")
+def hidden_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = fixture_engine(spark, sf_dir).entries
+    asked = entries.where("is_dir").select(F.upper("path").alias("path")).unionAll(spark.createDataFrame([("X:\\NONE",)], "path string"))
+    return results.hidden_probe(asked, entries.select("path", "hidden_system"))
+
+
+@_register("existing_selection", f"{_BASE}, {_STATS} SELECT e.path, s.path IS NOT NULL AS kept FROM full_entries e LEFT JOIN (SELECT * FROM stats WHERE found) s ON lower(e.path) = lower(s.path) WHERE drive = 'D:' AND NOT is_dir")
+def existing_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a selection still exist; the others are counted as skipped."""
+    selected = fixture_engine(spark, sf_dir).entries.where("drive = 'D:' and not is_dir")
+    kept, skipped = results.existing_only(selected, fixtures.file_stats(spark, sf_dir))
+    gone = selected.join(kept.select("drive", "entry_idx"), ["drive", "entry_idx"], "left_anti")
+    return kept.select("path", F.lit(True).alias("kept")).unionAll(gone.select("path", F.lit(False)))
+
+
+@_register("skipped_count", f"{_BASE}, {_STATS} SELECT count(*) AS skipped FROM full_entries e WHERE drive = 'D:' AND NOT is_dir AND lower(path) NOT IN (SELECT lower(path) FROM stats WHERE found)")
+def skipped_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selected = fixture_engine(spark, sf_dir).entries.where("drive = 'D:' and not is_dir")
+    return results.existing_only(selected, fixtures.file_stats(spark, sf_dir))[1]
+
+
+@_register("neutral_access", f"{_BASE}, p AS (SELECT drive, entry_idx * 2 AS entry_idx FROM full_entries) SELECT p.drive, p.entry_idx, coalesce(e.is_dir, false) AS is_dir, coalesce(e.hidden_effective, false) AS hidden_effective, coalesce(e.parent_idx, -1) AS parent_idx, coalesce(e.size, 0) AS size, coalesce(e.name, '') AS name, e.modified IS NOT NULL AS has_metadata FROM p LEFT JOIN full_entries e USING (drive, entry_idx)")
+def neutral_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accessors by position; half of the positions aren't there."""
+    entries = fixture_engine(spark, sf_dir).entries
+    found = tree.neutral(entries, entries.select("drive", (F.col("entry_idx") * 2).alias("entry_idx")))
+    return found.select("drive", "entry_idx", "is_dir", "hidden_effective", "parent_idx", "size", "name", "has_metadata")
+
+
+@_register("incremental_hidden", f"{_BASE}, {_JOURNAL} SELECT usn, coalesce(e.hidden_effective, false) AS hidden_effective FROM act a LEFT JOIN firsts f ON f.drive = 'C:' AND f.mft_ref = a.parent_ref LEFT JOIN full_entries e ON e.drive = 'C:' AND e.entry_idx = f.idx WHERE action = 'C'")
+def incremental_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What created entries take over from the parents then known."""
+    born = J.actions(fixtures.journal(spark, sf_dir)).where("action = 'C'").select("usn", "drive", "parent_ref", F.lit(False).alias("hidden_system"))
+    return J.incremental_hidden(born, fixture_engine(spark, sf_dir).entries).select("usn", "hidden_effective")
+
+
+@_register("live_metrics", f"WITH {_JOURNAL} SELECT drive, count(*) AS processed, count(*) FILTER (WHERE action = 'C') AS added, count(*) FILTER (WHERE action = 'D') AS removed, count(*) FILTER (WHERE action = 'R') AS renamed, max(usn) AS last_usn, greatest(10000 - max(usn) - 1, 0) AS behind FROM act GROUP BY drive")
+def live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.live_metrics(fixtures.journal(spark, sf_dir), fixtures.drives(spark))
+
+
+@_register("drive_lookup", "SELECT concat('D:', chr(92)) AS root, 'Removable' AS type")
+def drive_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.lookup(fixtures.drives(spark), "d:").select("root", "type")
+
+
+@_register("drive_events", "SELECT concat(upper(d), ':', chr(92)) AS root FROM (VALUES ('C'), ('E'), ('G')) t(d)")
+def drive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drive arrives and two go, by their unit mask."""
+    drives = fixtures.drives(spark)
+    arrived = drives.where("root = 'F:\\\\'").withColumn("root", F.lit("G:\\"))
+    return D.remove(D.upsert(drives, arrived), F.lit(0b101000)).select("root")
+
+
+@_register("removable_off", f"WITH {_RAW} SELECT drive, entry_idx FROM entries WHERE drive <> 'D:'")
+def removable_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.without_removable(fixture_engine(spark, sf_dir).entries, fixtures.drives(spark)).select("drive", "entry_idx")
+
+
+@_register("removable_on", "SELECT 'D:' AS drive")
+def removable_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What switching removable drives on has to build, from an index without them."""
+    drives = fixtures.drives(spark)
+    return D.missing_removable(drives, D.without_removable(fixture_engine(spark, sf_dir).entries, drives)).select("drive")
+
+
+@_register("build_progress", f"WITH {_RAW} SELECT CAST(4 AS BIGINT) AS drives, CAST(4 AS BIGINT) AS done, CAST(2 AS BIGINT) AS ready, count(*) AS entries FROM entries")
+def build_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.build_progress(fixture_engine(spark, sf_dir).entries, fixtures.drives(spark))
+
+
+@_register("probe_stats", f"{_GRAMS}, g AS (SELECT drive, count(DISTINCT gram) AS grams, count(*) AS postings FROM posting GROUP BY drive) SELECT drive, entries, grams, postings FROM (SELECT drive, count(*) AS entries FROM entries GROUP BY drive) JOIN g USING (drive)")
+def probe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = fixture_engine(spark, sf_dir)
+    return ngrams.probe_stats(engine.entries, engine.posting)
+
+
+@_register("grams_cleared", f"WITH {_RAW} SELECT drive, count(*) AS entries, CAST(0 AS BIGINT) AS grams, CAST(0 AS BIGINT) AS postings FROM entries GROUP BY drive")
+def grams_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = fixture_engine(spark, sf_dir).clear_grams()
+    return ngrams.probe_stats(engine.entries, engine.posting)
+
+
+@_register("ngram_tail", f"{_BASE} SELECT drive, entry_idx, name FROM full_entries WHERE {_SHOWN} AND {_has('report')} AND {_has('7')} UNION ALL SELECT 'C:', n, 'late report 7.txt' FROM (SELECT count(*) AS n FROM entries WHERE drive = 'C:')")
+def ngram_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search through an index that is older than the last entry, which is read as its tail."""
+    late = spark.createDataFrame([("C:", 900_000_000, 5, "late report 7.txt", False, False, 1, None)], fixtures.ENTRY)
+    return fixture_engine(spark, sf_dir).append(late).hits("report 7").select("drive", "entry_idx", "name")
+
+
+@_register("restored_search", f"{_BASE} SELECT name, path FROM full_entries WHERE {_SHOWN} AND {_has('photo')} AND ext_lc = 'png' AND NOT is_dir")
+def restored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture_engine(spark, sf_dir).with_config(restore_last_search=True, last_search="photo *.png").restored().select("name", "path")
+
+
+@_register("ui_texts", "SELECT * FROM (VALUES ('ko', '이름'), ('en', 'Name'), ('ja', 'Name'), ('zh', 'Name'), ('es', 'Name'), ('fr', 'Name'), ('de', 'Name')) t(language, name_header)")
+def ui_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header in every language, or in English where it isn't translated."""
+    return spark.createDataFrame([(code, fn.localized(sinks.HEADERS, "name", code)) for code in LANGUAGES], "language string, name_header string")
+
+
+@_register("dangerous_defaults", "SELECT * FROM (VALUES (concat('c:', chr(92), 'users')), (concat('c:', chr(92), 'windows', chr(92), 'x'))) t(path_lc)")
+def dangerous_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the guarded folders of a system."""
+    rows = [("C:\\Users",), ("C:\\users",), ("C:\\Users\\me",), ("C:\\Windows\\x",), ("C:\\WindowsOld",)]
+    return results.dangerous_paths(spark.createDataFrame(rows, "path string")).select("path_lc")
+
+
+@_register("exported_rows", f"{_BASE} SELECT name, path FROM full_entries WHERE {_SHOWN} AND {_has('draft')} AND entry_idx % 2 = 0")
+def exported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected rows of an export, read back from its files."""
+    engine, folder = fixture_engine(spark, sf_dir), f"{Tables(spark).folder}/export"
+    hits = engine.hits("draft")
+    sinks.export_selected(results.project(hits), hits.where("entry_idx % 2 = 0"), folder)
+    back = spark.read.option("header", True).option("escape", '"').schema("Name string, Path string, `Size(bytes)` string, Date string").csv(folder)
+    return back.select(F.col("Name").alias("name"), F.col("Path").alias("path"))
+
+
+@_register("csv_header", "SELECT 'Name,Path,Size(bytes),Date' AS en, '이름,경로,크기(bytes),날짜' AS ko")
+def csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(sinks.header("en"), sinks.header("ko"))], "en string, ko string")
+
+
+@_register("snapshot_round_trip", f"WITH {_RAW} SELECT drive, entry_idx, mft_ref, parent_idx, name, 'C:77:9000' AS resume FROM linked WHERE drive = 'C:'")
+def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved with a resume point and loaded again: of two drives one has another serial by now."""
+    engine, path = fixture_engine(spark, sf_dir), f"{Tables(spark).folder}/snapshot"
+    states = {d: {"volume_serial": s, "journal_id": 77, "last_usn": 9000} for d, s in (("C:", 1), ("D:", 2))}
+    points = snapshot.resume_points(snapshot.save(engine.entries, path, states))
+    loaded = snapshot.load(spark, path, {"C:": 1, "D:": 3}, engine.entries.schema)
+    resume = ":".join(map(str, ("C:", *points["C:"]))).replace("C::", "C:")
+    return loaded.select("drive", "entry_idx", "mft_ref", "parent_idx", "name", F.lit(resume).alias("resume"))
+
+
+@_register("snapshot_grams", f"{_GRAMS} SELECT drive, gram, count(*) AS n FROM posting WHERE drive = 'C:' GROUP BY drive, gram")
+def snapshot_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, path = fixture_engine(spark, sf_dir), f"{Tables(spark).folder}/snapshot"
+    snapshot.save(engine.entries, path, {"C:": {"volume_serial": 1, "journal_id": 77, "last_usn": 0}}, engine.posting)
+    return snapshot.load_grams(spark, path, {"C:": 1}).groupBy("drive", "gram").agg(F.count("*").alias("n"))
+
+
+@_register("resume_validity", "SELECT * FROM (VALUES (7, 10, 7, 10, true), (7, 10, 7, 9, false), (7, 10, 8, 99, false), (0, 0, 0, 5, false)) t(journal_id, lowest_valid, saved_id, saved_usn, resumes)")
+def resume_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = [(7, 10, 7, 10), (7, 10, 7, 9), (7, 10, 8, 99), (0, 0, 0, 5)]
+    return spark.createDataFrame([(*c, J.resumable(*c)) for c in cases], "journal_id int, lowest_valid int, saved_id int, saved_usn int, resumes boolean")
+
+
+@_register("live_journal", f"SELECT mft_ref, name FROM ({ORACLES['journal_apply']}) WHERE NOT is_deleted")
+def live_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live entries after the journal was folded into a snapshot in two batches, the second of which repeats a part of the first."""
+    entries, path = fixture_engine(spark, sf_dir).entries.where("drive = 'C:'"), f"{Tables(spark).folder}/live"
+    snapshot.save(entries, path, {"C:": {"volume_serial": 1, "journal_id": 77, "last_usn": -1}})
+    live, log = LiveIndex(spark, path, entries.schema), fixtures.journal(spark, sf_dir)
+    half = log.agg(F.max("usn")).first()[0] // 2
+    live.apply(log.where(F.col("usn") <= half))
+    live.apply(log.where(F.col("usn") > half // 2))
+    return live.entries().where("not is_deleted").select("mft_ref", "name")
+
+
+@_register("journal_binary", f"WITH {_JOURNAL} SELECT usn, drive, mft_ref, parent_ref, CAST(reason AS BIGINT) AS reason, name FROM act")
+def journal_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal as binary records, and decoded again."""
+    return mft.read_journal(image.journal_content(fixtures.journal(spark, sf_dir)), "C:").select("usn", "drive", "mft_ref", "parent_ref", "reason", "name")
+
+
+_IMAGE = """t AS (SELECT 5 AS mft_ref, 5 AS parent_ref, '.' AS name, true AS is_dir, true AS hidden_system, 0 AS size UNION ALL SELECT 16 + r_regionkey, 5, r_name, true, false, 0 FROM region
+ UNION ALL SELECT 32 + n_nationkey, 16 + n_regionkey, n_name, true, n_nationkey = 7, 0 FROM nation UNION ALL SELECT 64 + 2 * c_custkey, 32 + c_nationkey, c_name, false, c_custkey % 7 = 0, c_custkey * 10 FROM customer
+ UNION ALL SELECT 64 + 2 * c_custkey, 16, concat('link ', c_custkey), false, c_custkey % 7 = 0, c_custkey * 10 FROM customer WHERE c_custkey % 10 = 0
+ UNION ALL SELECT 64 + 2 * c_custkey, 17, concat('far ', c_custkey), false, c_custkey % 7 = 0, c_custkey * 10 FROM customer WHERE c_custkey % 10 = 1
+ UNION ALL SELECT 65 + 2 * c_custkey, 17, concat('far ', c_custkey), false, false, 0 FROM customer WHERE c_custkey % 10 = 1)"""
+
+
+def _volume(spark: SparkSession, sf_dir: str) -> str:
+    """An image of regions, nations and customers as folders and files: hard links, short names and extension records."""
+    read = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns).collect()]  # noqa: E731 a fixture
+    records = {5: image.record([(5, ".", 3)], True, True)}
+    records |= {16 + k: image.record([(5, name, 1)], True) for k, name in read("region", "r_regionkey", "r_name")}
+    records |= {32 + k: image.record([(16 + r, name, 1), (16 + r, f"N{k}~1", 2)], True, k == 7) for k, name, r in read("nation", "n_nationkey", "n_name", "n_regionkey")}
+    for k, name, nation in read("customer", "c_custkey", "c_name", "c_nationkey"):
+        names = [(32 + nation, name, 1)] + [(16, f"link {k}", 0)] * (k % 10 == 0)
+        records[64 + 2 * k] = image.record(names, hidden_system=k % 7 == 0, size=k * 10, ticks=133_500_000_000_000_000, extensions=[65 + 2 * k] * (k % 10 == 1))
+        if k % 10 == 1:
+            records[65 + 2 * k] = image.record([(17, f"far {k}", 1)])
+    path = Path(Tables(spark).folder.removeprefix("file:").replace("//", "/")) / "volume.img"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(image.image(records, 0x1234ABCD))
+    return str(path)
+
+
+@_register("mft_entries", f"WITH {_IMAGE} SELECT CAST(mft_ref AS BIGINT) AS mft_ref, CAST(parent_ref AS BIGINT) AS parent_ref, name, is_dir, hidden_system, CAST(size AS BIGINT) AS size FROM t")
+def mft_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries decoded from an image that holds them."""
+    spark.dataSource.register(mft.MftDataSource)
+    raw = mft.entries_of(spark.read.format("mft").load(_volume(spark, sf_dir)), "C:")
+    return raw.where("mft_ref <> 0").select("mft_ref", "parent_ref", "name", "is_dir", "hidden_system", "size")
+
+
+@_register("mft_tree", f"WITH RECURSIVE {_IMAGE}, f AS (SELECT mft_ref, CASE WHEN mft_ref = 5 THEN 'C:' ELSE NULL END AS path FROM t WHERE mft_ref = 5 UNION ALL SELECT t.mft_ref, concat(f.path, chr(92), t.name) FROM t JOIN f ON t.parent_ref = f.mft_ref WHERE t.mft_ref <> 5 AND t.is_dir) SELECT concat(f.path, chr(92), t.name) AS path, CAST(t.size AS BIGINT) AS size FROM t JOIN f ON f.mft_ref = t.parent_ref WHERE NOT t.is_dir")
+def mft_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of the files of an image."""
+    spark.dataSource.register(mft.MftDataSource)
+    raw = mft.entries_of(spark.read.format("mft").load(_volume(spark, sf_dir)), "C:")
+    return tree.build(raw.where("mft_ref <> 0"), "place").where("not is_dir").select("path", "size")
+
+
+@_register("volume_serials", "SELECT CAST(305441741 AS BIGINT) AS serial, CAST(512 AS BIGINT) AS sector, CAST(4096 AS BIGINT) AS cluster, CAST(1024 AS BIGINT) AS record")
+def volume_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _volume(spark, sf_dir)
+    boot = mft.boot_sector(mft.read_at(path, 0, mft.SECTOR))
+    return spark.createDataFrame([(mft.volume_serial(path), boot.sector, boot.cluster, boot.record)], "serial long, sector long, cluster long, record long")
+
+
+@_register("preferred_names", "SELECT * FROM (VALUES ('2,1,0', 1), ('2,0', 0), ('2', 2), ('3,0', 3)) t(namespaces, chosen)")
+def preferred_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = ("2,1,0", "2,0", "2", "3,0")
+    told = [(c, mft.preferred([{"namespace": int(x)} for x in c.split(",")])["namespace"]) for c in cases]
+    return spark.createDataFrame(told, "namespaces string, chosen int")

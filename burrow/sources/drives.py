@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,21 @@ def remove(drives: DataFrame, mask: Column) -> DataFrame:
 
 def without_removable(entries: DataFrame, drives: DataFrame) -> DataFrame:
     return entries.join(drives.where(is_removable()).select(letter(F.col("root")).alias("drive")), "drive", "left_anti")
+
+
+def missing_removable(drives: DataFrame, entries: DataFrame) -> DataFrame:
+    """Removable drives that are ready and not indexed yet: what switching them on has to build."""
+    ready = indexable(drives, include_removable=True).where(is_removable())
+    return ready.join(entries.select("drive").distinct(), "drive", "left_anti")
+
+
+def with_ready(drives: DataFrame, root: str, probe, tries: int = 8, wait: float = 0.5) -> DataFrame:
+    """Drives after a device arrived: ``probe`` is asked up to ``tries`` times whether it is ready."""
+    ready = False
+    for k in range(tries):
+        if ready := bool(probe(root)):
+            break
+        if k < tries - 1:
+            time.sleep(wait)
+    here = F.upper(letter(F.col("root"))) == letter(F.lit(root.upper()))
+    return drives.withColumn("ready", F.when(here, F.lit(ready)).otherwise(F.col("ready")))

@@ -81,10 +81,10 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of a bulk deletion of every eleventh order's file."""
+    """Outcomes of a bulk deletion of all order files."""
     cause = F.expr("case o_orderkey % 7 when 0 then 'Locked' when 1 then 'AccessDenied' when 2 then 'BadName' when 3 then 'Protected' else 'None' end")
     code = F.expr("case o_orderkey % 7 when 0 then 32 when 1 then 5 when 2 then 123 else 0 end")
-    return _table(spark, sf_dir, "orders", "o_orderkey").where("o_orderkey % 11 = 0").select(
+    return _table(spark, sf_dir, "orders", "o_orderkey").select(
         F.concat(F.lit("C:\\bulk\\"), F.expr(_NAMES)).alias("path"), (cause == "None").alias("success"), (F.expr("o_orderkey % 14 = 4")).alias("permanent"),
         cause.alias("cause"), code.alias("win32_error"), F.when(cause == "Locked", F.concat(F.lit("C:\\bulk\\"), F.expr(_NAMES))).alias("blocking_path"),
         F.when(cause == "Locked", F.transform(F.sequence(F.lit(1), F.expr("cast(1 + o_orderkey % 9 as int)")), lambda i: F.concat(F.lit("proc"), i.cast("string")))).otherwise(F.array().cast("array<string>")).alias("locking_processes"),

@@ -46,6 +46,7 @@ class Boot:
     record: int
     mft_at: int
     sectors: int
+    serial: int = 0
 
 
 def boot_sector(data: bytes) -> Boot:
@@ -55,7 +56,16 @@ def boot_sector(data: bytes) -> Boot:
     sectors, start = struct.unpack_from("<Q", data, 0x28)[0], struct.unpack_from("<Q", data, 0x30)[0]
     (size,) = struct.unpack_from("<b", data, 0x40)
     cluster = sector * per_cluster
-    return Boot(sector, cluster, size * cluster if size > 0 else 1 << -size, start * cluster, sectors)
+    (serial,) = struct.unpack_from("<I", data, 0x48)  # the low half, as the system tells it
+    return Boot(sector, cluster, size * cluster if size > 0 else 1 << -size, start * cluster, sectors, serial)
+
+
+def volume_serial(path: str) -> int:
+    """The serial of an image's volume; 0 if it can't be read."""
+    try:
+        return boot_sector(read_at(path, 0, SECTOR)).serial
+    except (OSError, MftError):
+        return 0
 
 
 def read_at(path: str, at: int, n: int) -> bytes:
@@ -70,7 +80,7 @@ def read_at(path: str, at: int, n: int) -> bytes:
 
 def fixup(record: bytes) -> bytes:
     """Restores the last two bytes of every sector; stops, without more ado, where a sector's check fails."""
-    if len(record) < 8 or record[:1] == b"\0":
+    if len(record) < 8 or record[:4] == b"\0\0\0\0":
         return record
     at, n = struct.unpack_from("<HH", record, 4)
     if n < 2 or at + 2 * n > len(record):

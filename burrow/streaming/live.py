@@ -1,9 +1,11 @@
 """Live changes: a stream of journal records folded into snapshot versions, and standing queries.
 
 The fold needs the parent of a new entry, which is another key's state, so it runs as
-a join over the whole batch in ``foreachBatch`` and not as state per key. A batch and
-its last usn become visible in one manifest swap; records at or below that usn are
-dropped when a batch is run again, so each is applied once.
+a join over the whole batch in ``foreachBatch`` and not as state per key. Only drives
+that the batch changes are folded and written anew; the others' rows stay where they are,
+and a batch that changes nothing notes its last usn alone. A batch and its last usn become
+visible in one manifest; records at or below that usn are dropped when a batch is run
+again, so each is applied once.
 """
 
 from __future__ import annotations
@@ -43,17 +45,18 @@ class LiveIndex:
         ends = {r["drive"]: r["usn"] for r in fresh.groupBy("drive").agg(F.max("usn").alias("usn")).collect()}
         if not ends:
             return False
-        states = {d: {**s, "last_usn": ends.get(d, s["last_usn"])} for d, s in states.items()}
-        changed = not fresh.where(J.action(F.col("reason")) != "-").isEmpty()
-        now = self.entries()
+        after = {d: {**states[d], "last_usn": usn} for d, usn in ends.items()}
+        changed = [r["drive"] for r in fresh.where(J.action(F.col("reason")) != "-").select("drive").distinct().collect()]
+        if quiet := {d: s for d, s in after.items() if d not in changed}:
+            snapshot.update(None, self.path, quiet)
         if changed:
+            now = self.entries().where(F.col("drive").isin(changed))
             raw = J.apply(now, fresh, self.apply_moves)
             now = tree.build(raw, "mft_ref", "is_deleted", "name").select(*now.columns)
-        snapshot.save(now, self.path, {d: {k: v for k, v in s.items() if k != "entries"} for d, s in states.items()})
-        if changed:
+            snapshot.update(now, self.path, {d: after[d] for d in changed})
             for tell in self.listeners:
                 tell(self.entries())
-        return changed
+        return bool(changed)
 
     def follow(self, journal: DataFrame, checkpoint: str, available_now: bool = False, every: str = "500 milliseconds") -> StreamingQuery:
         """Starts folding a streaming journal; with ``available_now`` it stops when it has caught up."""
@@ -90,6 +93,23 @@ class StandingQuery:
         return self.search(self.text) if shown == self.text and shown else None
 
 
+def journal_stream(spark: SparkSession, folder: str, drive: str, files_a_batch: int = 64) -> DataFrame:
+    """A stream of journal rows from binary files that arrive in a folder; a batch takes so many files at most, so a backlog
+    is worked off in batches of bounded size.
+    """
+    from burrow.sources.mft import read_journal
+
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("maxFilesPerTrigger", files_a_batch).load(folder)
+    return read_journal(files, drive)
+
+
+def metrics(query: StreamingQuery) -> dict:
+    """Of a running fold: batches, rows of the last batch and rows a second."""
+    last = query.lastProgress or {}
+    return {"batch": last.get("batchId", -1), "rows": last.get("numInputRows", 0), "rows_a_second": last.get("processedRowsPerSecond", 0.0)}
+
+
 def superseding(spark: SparkSession, tag: str = "burrow-search"):
     """Cancels the running search and tags the next: for sessions where jobs are run from several threads."""
     spark.interruptTag(tag) if hasattr(spark, "interruptTag") else spark.sparkContext.cancelJobsWithTag(tag)

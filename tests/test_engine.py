@@ -62,6 +62,7 @@ def test_index_and_scan_agree(engine):
         assert names(engine, query) == names(scan, query)
     old = engine.posting.where("entry_idx < 20")
     built = engine.entries.sparkSession.createDataFrame([("C:", 20)], "drive string, built_count long")
+    assert engine.built_at.first().built_count == len(TREE) and engine.clear_grams().posting is None
     spec = engine.parse("txt")
     tailed = ngrams.pruned(engine.entries, old, spec, built).where(F.contains("name_lc", F.lit("txt"))).count()
     assert tailed == engine.entries.where(F.contains("name_lc", F.lit("txt"))).count()
@@ -156,7 +157,9 @@ def test_overlays_and_summaries(spark, engine):
     assert results.copied(engine.hits("a_b"), "name").first()[0] == "a_b"
     lost = tree.neutral(engine.entries, spark.createDataFrame([("C:", 99999)], "drive string, entry_idx long")).first()
     assert (lost["size"], lost.parent_idx, lost.is_dir, lost.has_metadata) == (0, -1, False, False)
-    assert results.sample(engine.entries, 5).count() == 5
+    two = engine.entries.select("drive", "entry_idx", "path").unionAll(spark.createDataFrame([("D:", k, f"D:\\{k}") for k in range(40)], "drive string, entry_idx long, path string"))
+    drawn = [r.drive for r in results.sample(two, 30).collect()]
+    assert len(drawn) == 30 and set(drawn) == {"C:", "D:"} and results.sample(two.limit(0)).count() == 0
 
 
 def test_drives(spark):
@@ -213,9 +216,9 @@ def test_journal_into_a_tree(spark, engine):
 def test_snapshots_and_live_changes(spark, engine, tmp_path):
     path, state = str(tmp_path / "snap"), {"C:": {"volume_serial": 7, "journal_id": 3, "last_usn": 1}}
     first = snapshot.save(engine.entries, path, state)
-    assert first.drives["C:"]["entries"] == len(TREE)
+    assert first.drives["C:"]["entries"] == len(TREE) and snapshot.resume_points(first) == {"C:": (3, 1)}
     assert snapshot.load(spark, path, {"C:": 8}, engine.entries.schema) is None and snapshot.load(spark, path, {"C:": 0}, engine.entries.schema) is None
-    assert snapshot.load(spark, path, {"C:": 7}, engine.entries.schema).count() == len(TREE)
+    assert snapshot.load(spark, path, {"C:": 7}, engine.entries.schema).count() == len(TREE) and snapshot.load_grams(spark, path, {"C:": 7}) is None
     told = []
     live = LiveIndex(spark, path, engine.entries.schema, listeners=[lambda e: told.append(e.count())])
     log = [(1, "C:", 41, 0, J.DELETE, 0, ""), (2, "C:", 200, 5, J.CREATE, 0, "one.txt"), (3, "C:", 200, 5, J.RENAME_NEW, 0, "two.txt"), (9, "C:", 77, 5, J.CLOSE, 0, "")]
@@ -262,3 +265,86 @@ def test_delete_rules(spark):
 
 def test_config_is_only_values():
     assert EngineConfig() == EngineConfig(now=datetime(2020, 1, 1))
+
+
+def files_of(path):
+    import os
+
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_a_batch_rewrites_no_untouched_drive(spark, engine, tmp_path):
+    path = str(tmp_path / "snap")
+    both = engine.entries.unionByName(engine.entries.withColumn("drive", F.lit("D:")))
+    snapshot.save(both, path, {d: {"volume_serial": 7, "journal_id": 3, "last_usn": 0} for d in ("C:", "D:")}, engine.posting)
+    assert snapshot.load_grams(spark, path, {"C:": 7}).count() == engine.posting.count()
+    before, old = files_of(path), snapshot.read_manifest(spark, path)
+    live = LiveIndex(spark, path, engine.entries.schema)
+    log = spark.createDataFrame([(k, "C:", 200 + k, 20, J.CREATE, 0, f"n{k}.txt") for k in range(1, 11)], LOG)
+    assert live.apply(log) is True
+    now = snapshot.read_manifest(spark, path)
+    assert now.number == old.number + 1 and now.drives["D:"] == old.drives["D:"] and now.drives["C:"]["entries"] == len(TREE) + 10
+    assert before <= files_of(path) and live.entries().where("drive = 'D:'").count() == len(TREE)
+    written = files_of(path)
+    assert live.apply(spark.createDataFrame([(12, "D:", 1, 5, J.CLOSE, 0, "x")], LOG)) is False
+    assert files_of(path) == written and snapshot.read_manifest(spark, path).drives["D:"]["last_usn"] == 12
+    (tmp_path / "snap" / "manifest-99.json").write_text("{ not whole")  # a crash while it was written elsewhere
+    assert snapshot.read_manifest(spark, path).drives["D:"]["last_usn"] == 12
+
+
+def test_a_lookup_skips_row_groups(spark, tmp_path):
+    """Postings are sorted by gram: a file's statistics leave few row groups for one gram, and the filter reaches the scan."""
+    from urllib.parse import unquote
+
+    import pyarrow.parquet as pq
+
+    rows = spark.createDataFrame([("C:", 5, 5, ".", True, True, 0, None)] + [("C:", 10 + k, 5, f"name{k:05d}x", False, False, 0, None) for k in range(3000)], RAW)
+    posting = Engine.build(rows, with_grams=True).posting
+    plan = ngrams.candidates(posting, ["3:042"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(gram,3:042)" in plan
+    files = [unquote(f).removeprefix("file://").removeprefix("file:") for f in posting.inputFiles()]
+    metas = [pq.ParquetFile(f).metadata for f in files]
+    columns = [m.row_group(g).column(c) for m in metas for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    grams = [c.statistics for c in columns if c.path_in_schema == "gram"]
+    assert sum(s.min <= "3:042" <= s.max for s in grams) <= 2 < len(grams)
+
+
+def test_large_caps_equal_small_ones(engine):
+    key = lambda df: sorted((r.drive, r.entry_idx) for r in df.collect())
+    for most in (1, 7, 8, 20, 500):
+        assert key(results.cap_by_ranges(engine.entries, most, 8)) == key(results.cap(engine.entries, most))
+    assert results.copied(engine.entries.where("name like 'link%'"), "name", 1).first()[0] == "link1.doc"
+
+
+def test_appended_entries_are_the_tail(spark, engine):
+    more = engine.append(spark.createDataFrame([row(500, 20, "abcd late.txt"), row(501, 5, "New", True)], RAW))
+    assert names(more, "abcd") == ["abcd late.txt", "abcd.txt"] and {r.path for r in more.hits("late").collect()} == {"C:\\Back\\abcd late.txt"}
+    old = {r.name: r.entry_idx for r in engine.entries.collect()}
+    assert {r.name: r.entry_idx for r in more.entries.collect() if r.entry_idx < len(TREE)} == old
+    assert names(more.attach_grams(), "abcd") == names(more, "abcd") and more.attach_grams().built_at.first().built_count == len(TREE) + 2
+
+
+def test_drives_that_get_ready_late(spark):
+    tries = iter([False, False, True])
+    ready = D.with_ready(fixtures.drives(spark), "f:", lambda root: next(tries), wait=0)
+    assert [r.ready for r in ready.where("root = 'F:\\\\'").collect()] == [True] and next(tries, None) is None
+    asked = []
+    never = D.with_ready(fixtures.drives(spark), "F:\\", lambda root: asked.append(root), wait=0)
+    assert len(asked) == 8 and not never.where("root = 'F:\\\\'").first().ready
+
+
+def test_binary_journals_stream_in_bounded_batches(spark, tmp_path):
+    from burrow.sources import image
+    from burrow.streaming.live import journal_stream, metrics, superseding
+
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        (tmp_path / "in" / f"{k}.usn").write_bytes(b"".join(image.journal_record(10 * k + j, 70 + j, 5, J.CREATE, 0, f"f{k}{j}.txt") for j in range(3)))
+    seen = []
+    stream = journal_stream(spark, str(tmp_path / "in"), "C:", files_a_batch=2)
+    query = stream.writeStream.foreachBatch(lambda df, n: seen.append(sorted(r.usn for r in df.collect()))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(x for b in seen for x in b) == [10 * k + j for k in range(5) for j in range(3)] and max(map(len, seen)) <= 6
+    assert metrics(query)["batch"] == len(seen) - 1
+    superseding(spark)
+    assert spark.range(3).count() == 3

@@ -96,7 +96,7 @@ def image(tmp_path_factory):
 
 
 def test_boot_sector():
-    assert M.boot_sector(boot(-10)) == M.Boot(512, 4096, 1024, 4 * 4096, 4096) and M.boot_sector(boot(1)).record == 4096
+    assert M.boot_sector(boot(-10)) == M.Boot(512, 4096, 1024, 4 * 4096, 4096, 0) and M.boot_sector(boot(1)).record == 4096
     with pytest.raises(M.MftError):
         M.boot_sector(b"\0" * 512)
 
