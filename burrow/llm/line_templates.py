@@ -18,6 +18,8 @@ Lines of a recurring template are dropped from every document.
 Texts are told apart by a 64-bit hash, so a group of exact copies counts once. Lines are
 parsed once, to a table. A template that a third of all texts hold is counted by partial
 aggregates, and met in joins whose other side has one row for it, which Spark splits.
+Joins are merged at every size, so that cost grows with the input and doesn't jump where
+a side outgrows a broadcast.
 
 Nulls: a null text is left as it is and counts for nothing; nulls elsewhere are
 passed through. Blank lines and lines of fewer than ``SHORT`` tokens are never
@@ -81,18 +83,18 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, copy_share: float
     seen = parsed.select("key", "line", "chars", "n", F.explode("templates").alias("template"))
     few = F.when(F.max("n") >= PASSAGE, min(2, min_texts)).otherwise(min_texts).alias("few")
     shared = seen.groupBy("template").agg(F.min("key").alias("low"), F.max("key").alias("high"), few).where("low <> high").select("template", "few")
-    held = tables.add(seen.drop("n").join(shared, "template"))  # lines that another text has too
+    held = tables.add(seen.drop("n").join(shared.hint("merge"), "template"))  # lines that another text has too
     own = held.groupBy("template", "key").agg(F.sum("chars").alias("own"), F.first("few").alias("few"))
     if copy_share is not None:
         once = held.select("key", "line", "chars").distinct().groupBy("key").agg(F.sum("chars").alias("recurs"))
         totals = parsed.select("key", "total").distinct()
         rest = F.col("total") - F.col("own")
         counts = (rest > 0) & (F.col("recurs") - F.col("own") <= copy_share * rest)
-        own = own.join(once.join(totals, "key"), "key").where(counts)
+        own = own.join(once.join(totals.hint("merge"), "key").hint("merge"), "key").where(counts)
     votes = own.groupBy("template").agg(F.count("*").alias("texts"), F.first("few").alias("few"))
     recurring = votes.where("texts >= few").select("template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = held.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
-    found = dealt.join(recurring, ["template", "salt"]).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    found = dealt.join(recurring.hint("merge"), ["template", "salt"]).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     out = kept.add(found)
     tables.clear()
     return out
@@ -109,7 +111,7 @@ def without_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """row (the columns of a document), left (what is left of its text), n_lines and n_dropped."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.col("row.text").cast("string")
-    joined = rows.withColumn("key", _key(text)).join(drops.select("key", F.col("lines").alias("gone")), "key", "left")
+    joined = rows.withColumn("key", _key(text)).join(drops.select("key", F.col("lines").alias("gone")).hint("merge"), "key", "left")
     split = F.transform(F.array(F.split(text, "\n", -1)), lambda x: F.struct(F.size(x).alias("n"), F.array_join(_without(x, F.col("gone")), "\n").alias("left")))[0]
     left = F.when(F.col("gone").isNotNull(), split["left"]).otherwise(text)
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
