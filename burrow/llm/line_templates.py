@@ -87,9 +87,10 @@ def dropped_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, copy_share: float
     own = held.groupBy("template", "key").agg(F.sum("chars").alias("own"), F.first("few").alias("few"))
     if copy_share is not None:
         once = held.select("key", "line", "chars").distinct().groupBy("key").agg(F.sum("chars").alias("recurs"))
-        totals = parsed.select("key", "total").distinct()
-        rest = F.col("total") - F.col("own")
-        counts = (rest > 0) & (F.col("recurs") - F.col("own") <= copy_share * rest)
+        totals = parsed.where("line = 0").groupBy("key").agg(F.first("total").alias("total"), F.count("*").alias("copies"))
+        mine = F.expr("own div copies")  # a text's lines are there once for each copy of it
+        rest = F.col("total") - mine
+        counts = (rest > 0) & (F.col("recurs") - mine <= copy_share * rest)
         own = own.join(once.join(totals.hint("merge"), "key").hint("merge"), "key").where(counts)
     votes = own.groupBy("template").agg(F.count("*").alias("texts"), F.first("few").alias("few"))
     recurring = votes.where("texts >= few").select("template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
