@@ -59,6 +59,23 @@ def test_large_nodes_branch(spark, monkeypatch):
     assert got(N.near_duplicates(docs)) == sorted(brute.near_duplicates(rows), key=KEY)
 
 
+def test_blocks_of_few_pairs_lose_none(spark, monkeypatch):
+    """Every group of pairs is split, at the first level by one side and below by both."""
+    monkeypatch.setattr(N, "PAIRS_A_KEY", 2)
+    rows = corpus(5)[:120]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(N.near_duplicates(docs)) == sorted(brute.near_duplicates(rows), key=KEY)
+
+
+def test_bounds_of_sketches_are_exact_tails():
+    rng = np.random.default_rng(9)
+    for n, bits in ((N.HASHES, 32), (N.WIDE, 8)):
+        p = 0.8 + 0.2 / 2**bits
+        assert (rng.binomial(n, p, 2_000_000) < N.agreement(n, 80, 100, bits)).mean() <= 5e-6
+        assert (rng.binomial(n, p, 2_000_000) < N.agreement(n, 80, 100, bits) + 8).mean() > 1e-6
+    assert N.agreement(10, 1, 1) == 10
+
+
 def test_candidates_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(N, "SMALL", 0)
     rows = corpus(4)[:80]
