@@ -42,7 +42,9 @@ CHAIN = 256
 SAMPLE = 2400
 #: Tokens of all sampled documents together: 16 bytes each on the driver, and some 150 while fitting.
 MOST_TOKENS = 2_000_000
-SEPARATES = 24.0
+SEPARATES = 16.0
+#: How many times as often toxic documents must have a token as clean ones.
+MORE_OFTEN = 4.0
 PREDICT_AT = 0.3
 #: Bytes of a token's beginnings that are features; a token must be longer. Bucket 0 stands for none and keeps weight 0.
 BEGINNINGS = (4, 5, 6)
@@ -206,7 +208,7 @@ def token_labels(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
         return np.where(count > 0, count * np.log(np.maximum(count, 1e-12) / np.maximum(expected, 1e-12)), 0)
 
     ratio = 2 * (part(hit, nt * share) + part(miss, nc * share) + part(nt - hit, nt * (1 - share)) + part(nc - miss, nc * (1 - share)))
-    marked = (ratio > SEPARATES) & (hit / nt > 8 * miss / nc) & (hit >= 3)
+    marked = (ratio > SEPARATES) & (hit / nt > MORE_OFTEN * miss / nc) & (hit >= 3)
     marked[0] = False
     return marked
 
