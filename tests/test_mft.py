@@ -201,3 +201,8 @@ def test_the_tree_of_an_image_that_the_driver_never_holds(spark, customers):
     paths = sorted((r.path, r.size) for r in queries.mft_tree(spark, customers).collect())
     assert len(paths) == 712 + 2 * 356 and ("C:\\ASIA\\INDIA\\Customer 1", 10) in paths
     assert [p for p in paths if p[0] == "C:\\ASIA\\far 31"] == [] and [p for p in paths if p[0] == "C:\\ASIA\\far 91"] == [("C:\\ASIA\\far 91", 0), ("C:\\ASIA\\far 91", 910)]
+
+
+def test_the_serials_of_a_volume_that_the_driver_never_holds(spark, customers):
+    rows, peak = driver_peak(lambda: queries.volume_serials(spark, customers).collect())
+    assert [tuple(r) for r in rows] == [(0x1234ABCD, 512, 4096, 1024)] and peak < 8 << 20
