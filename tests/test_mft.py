@@ -206,3 +206,11 @@ def test_the_tree_of_an_image_that_the_driver_never_holds(spark, customers):
 def test_the_serials_of_a_volume_that_the_driver_never_holds(spark, customers):
     rows, peak = driver_peak(lambda: queries.volume_serials(spark, customers).collect())
     assert [tuple(r) for r in rows] == [(0x1234ABCD, 512, 4096, 1024)] and peak < 8 << 20
+
+
+def test_an_image_is_decoded_once(spark, customers):
+    """What the entries are made of is a table, and not the image again for each join."""
+    found = queries.mft_entries(spark, customers)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "mft" not in plan.replace("mft_ref", "")
+    assert found.count() == 1 + 2 + 2 + 712 + 2 * 356
