@@ -20,7 +20,7 @@ class EngineConfig:
     hide_recycled: bool = True
     excluded_folders: tuple[str, ...] = ()
     include_removable: bool = False
-    max_results: int = 1_000_000
+    max_results: int | None = 1_000_000  # None: a search gives all its hits
     sort_column: str = "name"
     sort_ascending: bool = True
     time_zone: str = "UTC"

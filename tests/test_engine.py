@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burrow import functions as fn
-from burrow import sinks
+from burrow import queries, sinks
 from burrow.config import EngineConfig
 from burrow.engine import Engine
 from burrow.operators import journal as J
@@ -353,3 +353,12 @@ def test_binary_journals_stream_in_bounded_batches(spark, tmp_path):
 def test_all_selected_rows_are_copied(spark):
     many = spark.range(20_003).select(F.lit("C:").alias("drive"), F.col("id").alias("entry_idx"), F.col("id").cast("string").alias("name"))
     assert results.copied(many, "name").first()[0].split("\n") == [str(k) for k in range(20_003)]
+
+
+def test_a_restored_search_gives_all_its_hits(spark, engine, monkeypatch):
+    """Whatever the cap of the engine's settings: here it is far below the hits."""
+    photos = [row(500 + k, 20, f"photo {k}.png") for k in range(5)]
+    capped = Engine.build(spark.createDataFrame([*TREE, *photos], RAW)).with_config(max_results=2)
+    monkeypatch.setattr(queries, "fixture_engine", lambda *_: capped)
+    assert sorted(r.name for r in queries.restored_search(spark, "").collect()) == [f"photo {k}.png" for k in range(5)]
+    assert engine.with_config(max_results=None).search("txt").count() == len(names(engine, "txt")) > 1
