@@ -34,6 +34,8 @@ WIDTH = (1 << WORD_BITS) + PAIRS + DENSE
 SAMPLE = 6000
 #: Counts of all sampled documents together: 8 bytes each on the driver, and some 50 while fitting.
 MOST_COUNTS = 4_000_000
+#: Counts that a step of the fit works on at once, which bounds the driver's memory beside the counts themselves.
+PART = 1 << 18
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +114,10 @@ def loss(x: np.ndarray, cols: np.ndarray, vals: np.ndarray, at: np.ndarray, grad
     x: the weights, the first threshold, logs of the gaps; cols, vals and at: columns, values and rows of the sparse features.
     """
     width, n = len(x) - n_grades + 1, len(grades)
-    s = np.bincount(at, x[cols] * vals, n)
+    parts = [slice(k, k + PART) for k in range(0, len(cols), PART)]  # in the order of the counts, so that sums are the same as of all at once
+    s = np.zeros(n)
+    for k in parts:
+        np.add.at(s, at[k].astype(np.intp), x[cols[k]] * vals[k])
     over = 1 / (1 + np.exp(np.clip(thresholds(x[width:])[None, :] - s[:, None], -40, 40)))
     padded = np.concatenate([np.ones((n, 1)), over, np.zeros((n, 1))], axis=1)
     i = np.arange(n)
@@ -123,7 +128,10 @@ def loss(x: np.ndarray, cols: np.ndarray, vals: np.ndarray, at: np.ndarray, grad
     by_threshold[i, grades] += heft * dh
     by_threshold[i, grades + 1] -= heft * dl
     g = np.zeros_like(x)
-    g[:width] = np.bincount(cols, vals * (-heft * (dh - dl))[at], width) + decay * x[:width]
+    pull = -heft * (dh - dl)
+    for k in parts:
+        np.add.at(g, cols[k].astype(np.intp), vals[k] * pull[at[k]])
+    g[:width] += decay * x[:width]
     g[width:] = np.cumsum(by_threshold.sum(axis=0)[1:n_grades][::-1])[::-1]
     g[width + 1 :] *= np.exp(x[width + 1 :])
     return float(-(heft * np.log(p)).sum() + decay / 2 * (x[:width] ** 2).sum()), g
@@ -135,8 +143,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grade
         low = -4.0 if not len(rows) else 0.0
         flat = [low if not len(rows) or k < grades.max() else 4.0 for k in range(n_grades - 1)]
         return Model(np.zeros(WIDTH), np.array(flat) + np.arange(n_grades - 1) * 1e-3)
-    cols, vals = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
-    at = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    cols, vals = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     share = np.bincount(grades, minlength=n_grades) / len(rows)
     heft = 1 / np.sqrt(np.maximum(share, 1e-9))[grades]
     heft /= heft.sum()
@@ -173,7 +181,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE
         counted = counted.where(F.col("doc_id").isin([r["doc_id"] for r in sizes[:fits]]))
     got = counted.toArrow().sort_by("doc_id")
     held.clear()
-    rows = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32)) for c, v in zip(got["cols"].to_pylist(), got["vals"].to_pylist(), strict=True)]
+    rows = [(np.frombuffer(c.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for c, v in zip(got["cols"], got["vals"], strict=True)]  # views
     return train(rows, got["grade"].to_numpy().astype(np.int64), n_grades)
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -195,3 +196,14 @@ def test_long_texts_are_scored_in_pieces(spark, monkeypatch):
     cut = toxicity.score(frame, field).first()
     assert whole.spans and [tuple(s) for s in cut.spans] == [tuple(s) for s in whole.spans] and abs(cut.score - whole.score) < 1e-6
     assert all(text[s.start : s.end].lower() in ("moron", "idiot", "moron, idiot") for s in whole.spans)
+
+
+def test_a_fit_holds_little_beside_its_counts():
+    """The driver's memory is short: two million counts of 8 bytes, and no more copies of them than need be."""
+    rng = np.random.default_rng(3)
+    rows = [(rng.integers(0, quality.WIDTH, 1000).astype(np.int32), rng.random(1000, np.float32)) for _ in range(2000)]
+    tracemalloc.start()
+    quality.train(rows, np.arange(2000) % 3, 3, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
