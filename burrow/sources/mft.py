@@ -4,7 +4,8 @@
     spark.read.format("mft").load("/images/c.img")
 
 The driver reads the boot sector and record 0 and plans slices of the table's data
-runs; executors decode records of their slice. A file with names in extension
+runs, whose number is bounded; executors decode records of their slice, chunk by chunk,
+and pass over holes of the image, which hold zeros and so no records. A file with names in extension
 records gives rows marked ``deferred``, which ``entries_of`` resolves by a join.
 Images must lie where every executor can open them. Journal records are decoded by
 ``journal_records``.
@@ -12,6 +13,8 @@ Images must lie where every executor can open them. Journal records are decoded
 
 from __future__ import annotations
 
+import errno
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +30,8 @@ STANDARD, ATTRIBUTE_LIST, FILE_NAME, DATA, END = 0x10, 0x20, 0x30, 0x80, 0xFFFFF
 WIN32, DOS, WIN32_DOS = 1, 2, 3
 REF_MASK = (1 << 48) - 1
 SECTOR, CHUNK = 512, 4 << 20
+#: Slices of a table beside one a run, which the driver holds all at once; a longer table gets longer slices.
+MOST_SLICES = 2048
 _EPOCH = datetime(1601, 1, 1, tzinfo=UTC)
 
 RECORDS = (
@@ -78,6 +83,32 @@ def read_at(path: str, at: int, n: int) -> bytes:
     return data
 
 
+def chunks(path: str, at: int, n: int, unit: int) -> Iterator[tuple[int, bytes]]:
+    """(position, data) of the n bytes, or an error: units whole, CHUNK bytes at most, without units that are holes of the file."""
+    with open(path, "rb") as f:
+        if (there := f.seek(0, os.SEEK_END)) < at + n:
+            raise MftError(f"{max(there - at, 0)} of {n} bytes at {at}")
+        pos, end, most = at, at + n, max(1, CHUNK // unit) * unit
+        while pos < end:
+            try:
+                data_at = f.seek(pos, os.SEEK_DATA)
+                stop = at - (at - f.seek(data_at, os.SEEK_HOLE)) // unit * unit  # the unit in which the hole begins is whole
+                pos = max(pos, at + (data_at - at) // unit * unit)
+            except OSError as error:
+                if error.errno == errno.ENXIO:  # only a hole is left
+                    return
+                stop = end  # holes aren't told here
+            if pos >= end:
+                return
+            size = min(most, stop - pos, end - pos)
+            f.seek(pos)
+            data = f.read(size)
+            if len(data) != size:
+                raise MftError(f"{len(data)} of {size} bytes at {pos}")
+            yield pos, data
+            pos += size
+
+
 def fixup(record: bytes) -> bytes:
     """Restores the last two bytes of every sector; stops, without more ado, where a sector's check fails."""
     if len(record) < 8 or record[:4] == b"\0\0\0\0":
@@ -204,7 +235,8 @@ class MftReader(DataSourceReader):
         runs = data_runs(fixup(read_at(self.path, boot.mft_at, boot.record)))
         if not runs:
             raise MftError("the table has no data runs")
-        per, first, out = max(1, CHUNK // boot.record), 0, []
+        total = sum(n for _, n in runs) * boot.cluster // boot.record
+        per, first, out = max(1, CHUNK // boot.record, -(-total // MOST_SLICES)), 0, []
         for cluster, n in runs:
             records = n * boot.cluster // boot.record
             out += [Slice(cluster * boot.cluster + k * boot.record, first + k, min(per, records - k)) for k in range(0, records, per)]
@@ -213,9 +245,10 @@ class MftReader(DataSourceReader):
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         size = self.boot.record
-        data = read_at(self.path, partition.at, partition.n * size)
-        rows = (parse(fixup(data[k * size : (k + 1) * size]), partition.first + k) for k in range(partition.n))
-        yield pa.RecordBatch.from_pylist([r for r in rows if r], ARROW)
+        for at, data in chunks(self.path, partition.at, partition.n * size, size):
+            first = partition.first + (at - partition.at) // size
+            rows = (parse(fixup(data[k * size : (k + 1) * size]), first + k) for k in range(len(data) // size))
+            yield pa.RecordBatch.from_pylist([r for r in rows if r], ARROW)
 
 
 _NAME = pa.struct([("parent_ref", pa.int64()), ("name", pa.string()), ("namespace", pa.int32())])

@@ -214,3 +214,43 @@ def test_an_image_is_decoded_once(spark, customers):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and "mft" not in plan.replace("mft_ref", "")
     assert found.count() == 1 + 2 + 2 + 712 + 2 * 356
+
+
+def test_a_long_table_with_holes(tmp_path):
+    """Few slices on the driver and no reading of holes, whatever numbers records have; a table that is cut off is an error."""
+    path, far = tmp_path / "c.img", 50_000_000
+    n = I._clusters(far)
+    head, zero = I._head(n, 7)
+    numbers = [5, 6, 4095, 4096, 30_000, 30_003, 8_000_001, far - 5_000, far]
+    with open(path, "wb") as f:
+        f.write(head + zero)
+        for k in numbers:
+            f.seek(I.TABLE_AT * CLUSTER + k * RECORD)
+            f.write(I.record([(5, f"name {k}", 1)], size=k))
+        f.truncate((I.TABLE_AT + n) * CLUSTER)
+    reader = M.MftReader(str(path))
+    slices = reader.partitions()
+    assert len(slices) <= M.MOST_SLICES and sum(s.n for s in slices) == n * CLUSTER // RECORD
+    assert [b.first - a.first for a, b in zip(slices, slices[1:])] == [s.n for s in slices[:-1]]
+    rows = [r for s in slices for batch in reader.read(s) for r in batch.to_pylist()]
+    assert [(r["mft_ref"], r["names"][0]["name"], r["size"]) for r in rows] == [(0, "$MFT", rows[0]["size"])] + [(k, f"name {k}", k) for k in numbers]
+    os.truncate(path, (I.TABLE_AT + n) * CLUSTER - 1)
+    with pytest.raises(M.MftError):
+        list(reader.read(slices[-1]))
+
+
+@pytest.mark.parametrize("unit", [512, 1024, 1536, 4096, 10_240])
+def test_chunks_are_whole_units_and_only_holes_are_missing(tmp_path, monkeypatch, unit):
+    monkeypatch.setattr(M, "CHUNK", 8192)
+    path, n = tmp_path / "x", 60 * unit
+    with open(path, "wb") as f:
+        for at in (777, 40_000, 40_960, 777 + n - 9):
+            f.seek(at)
+            f.write(b"data" if at < n else b"the end")
+        f.truncate(777 + n + 100_000)
+    got = bytearray(n)
+    for at, part in M.chunks(str(path), 777, n, unit):
+        assert (at - 777) % unit == len(part) % unit == 0 and len(part) <= max(unit, 8192)
+        got[at - 777 : at - 777 + len(part)] = part
+    assert bytes(got) == path.read_bytes()[777 : 777 + n]
+    assert list(M.chunks(str(path), 777 + n + 20_000, unit, unit)) == [] or unit > 4096
