@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burrow.llm.kernels import CHUNK, bounds, hashed_words, slices, word_hashes
-from burrow.store import Tables
+from burrow.store import Tables, give_back
 
 WORD_BITS, PAIRS = 15, 1 << 16
 DENSE = 2
@@ -182,7 +182,10 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE
     got = counted.toArrow().sort_by("doc_id")
     held.clear()
     rows = [(np.frombuffer(c.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for c, v in zip(got["cols"], got["vals"], strict=True)]  # views
-    return train(rows, got["grade"].to_numpy().astype(np.int64), n_grades)
+    model = train(rows, got["grade"].to_numpy().astype(np.int64), n_grades)
+    del got, rows
+    give_back(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
